@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, sstable, tokencount
+from . import decontam, packing, quality, simhash, sstable, tokencount
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1,
+        "op2_quality_rules": quality.op2,
+        "op4_decontamination": decontam.op4,
         "op5_token_counts": tokencount.op5,
         "op7_simhash": simhash.op7,
         "op9_sstable": sstable.op9,
@@ -15,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontam.OP4_SQL}
