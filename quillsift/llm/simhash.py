@@ -103,29 +103,29 @@ class Ball:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], half: int, block_bits: int) -> Iterator[pa.RecordBatch]:
-    """For each block, the fingerprints that have a variant in it."""
+    """For each family and block, the fingerprints that have a variant in it."""
     ball, blocks = Ball(half, block_bits), np.arange(1 << block_bits, dtype=np.uint64)
     reached = np.zeros(1 << block_bits, bool)
     reached[ball.flip_class.astype(np.int64)] = True
     for batch in batches:
-        prints = np.asarray(batch.column(0)).view(np.uint64)
-        own = ball.classes(prints)
-        order = np.argsort(own, kind="stable")
-        prints, own = prints[order], own[order]
-        groups, at = np.unique(own, return_index=True)
-        parts, names, size = [], [], 0
-        packs = [(g, prints[a:b].tobytes()) for g, a, b in zip(groups, at, [*at[1:], len(prints)])]
-        for block in blocks:
-            sent = b"".join(raw for g, raw in packs if reached[int(block ^ g)])
-            if sent:
-                parts.append(sent)
-                names.append(int(block))
-                size += len(sent)
-            if size > 8 << 20:
-                yield pa.RecordBatch.from_pydict({"block": pa.array(names, pa.int64()), "prints": pa.array(parts, pa.binary())})
-                parts, names, size = [], [], 0
-        if parts:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(names, pa.int64()), "prints": pa.array(parts, pa.binary())})
+        families, all_prints = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+        for family in np.unique(families):
+            prints = all_prints[families == family]
+            own = ball.classes(prints)
+            order = np.argsort(own, kind="stable")
+            prints, own = prints[order], own[order]
+            groups, at = np.unique(own, return_index=True)
+            packs = [(g, prints[a:b].tobytes()) for g, a, b in zip(groups, at, [*at[1:], len(prints)])]
+            parts, names, size = [], [], 0
+            for block in blocks:
+                sent = b"".join(raw for g, raw in packs if reached[int(block ^ g)])
+                if sent:
+                    parts.append(sent)
+                    names.append(int(block))
+                    size += len(sent)
+                if names and (size > 8 << 20 or block == blocks[-1]):
+                    yield pa.RecordBatch.from_pydict({"family": pa.array([int(family)] * len(names), pa.int64()), "block": pa.array(names, pa.int64()), "prints": pa.array(parts, pa.binary())})
+                    parts, names, size = [], [], 0
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -144,8 +144,9 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _links(prints: np.ndarray, block: int, half: int, block_bits: int, slice_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The spanning forest of a block: nodes that aren't roots, and their roots."""
+def _links(prints: np.ndarray, block: int, half: int, block_bits: int, slice_rows: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of a block: nodes that aren't roots, and their roots; without
+    ``spanning``, each pair that comes next to each other at a variant, once."""
     n = len(prints)
     per_block = max(1, n * (1 + 64 + (half > 1) * 2016) >> block_bits)
     slice_bits = max(0, (per_block // slice_rows).bit_length())
@@ -155,11 +156,9 @@ def _links(prints: np.ndarray, block: int, half: int, block_bits: int, slice_row
     for i, c in enumerate(ball.flip_class.tolist()):
         by_class.setdefault(c, []).append(i)
     by_class = {c: ball.flips[i] for c, i in by_class.items()}
-    groups = {c: np.flatnonzero(own == c) for c in np.unique(own).tolist()} if n < 1000 or (block_bits + slice_bits) <= 10 else None
-    if groups is None:
-        order = np.argsort(own, kind="stable")
-        names, at = np.unique(own[order], return_index=True)
-        groups = {c: order[a:b] for c, a, b in zip(names.tolist(), at, [*at[1:], n])}
+    order = np.argsort(own, kind="stable")
+    names, at = np.unique(own[order], return_index=True)
+    groups = {c: order[a:b] for c, a, b in zip(names.tolist(), at, [*at[1:], n])}
     ea, eb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(1 << slice_bits):
         target = block | s << block_bits
@@ -180,18 +179,37 @@ def _links(prints: np.ndarray, block: int, half: int, block_bits: int, slice_row
         pairs = np.unique(np.minimum(a, b)[good] * n + np.maximum(a, b)[good])
         ea.append(pairs // n)
         eb.append(pairs % n)
-    root = forest(np.concatenate(ea), np.concatenate(eb), n)
+    ea, eb = np.concatenate(ea), np.concatenate(eb)
+    if not spanning:
+        pairs = np.unique(ea * n + eb)
+        return prints[pairs // n], prints[pairs % n]
+    root = forest(ea, eb, n)
     node = np.flatnonzero(root != np.arange(n))
     return prints[node], prints[root[node]]
 
 
-def _match(table: pa.Table, half: int, block_bits: int, slice_rows: int) -> pa.Table:
-    block = table.column("block")[0].as_py()
+def _match(table: pa.Table, half: int, block_bits: int, slice_rows: int, spanning: bool) -> pa.Table:
+    block, family = table.column("block")[0].as_py(), table.column("family")[0].as_py()
     prints = np.unique(np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64))
     # nodes are told apart by their rank as signed longs, as Spark orders them
     prints = np.sort(prints.view(np.int64)).view(np.uint64)
-    a, b = _links(prints, block, half, block_bits, slice_rows)
-    return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+    a, b = _links(prints, block, half, block_bits, slice_rows, spanning)
+    return pa.table({"family": pa.array([family] * len(a), pa.int64()), "a": a.view(np.int64), "b": b.view(np.int64)})
+
+
+def meetings(prints: DataFrame, radius: int = 4, slice_rows: int = SLICE, spanning: bool = True) -> DataFrame:
+    """``family, a, b``: links between the distinct fingerprints ``fp`` of each ``family`` that are ``radius`` bits or
+    fewer apart. With ``spanning`` they connect what is linked; without, a pair comes for each variant at which
+    its two come next to each other, so that a group of k gives at most 2,081 k pairs."""
+    if radius not in (2, 4):
+        raise ValueError("radius must be 2 or 4")
+    half = radius // 2
+    prints = write_table(prints.select(F.col("family").cast("long"), "fp").distinct(), "prints")
+    most = prints.groupBy("family").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = BLOCKS if most <= MOST else -(-2081 * most // MOST)
+    bits = (blocks - 1).bit_length()
+    dealt = prints.mapInArrow(lambda it: _deal(it, half, bits), "family long, block long, prints binary")
+    return dealt.groupBy("family", "block").applyInArrow(lambda t: _match(t, half, bits, slice_rows, spanning), "family long, a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,24 +236,10 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def link_fingerprints(prints: DataFrame, radius: int = 4, slice_rows: int = SLICE) -> DataFrame:
-    """``node, root`` of all fingerprints in column ``fp`` that link to a smaller one by steps of ``radius`` bits or fewer."""
-    if radius % 2 or not 0 < radius <= 4:
-        raise ValueError("radius must be 2 or 4")
-    half = radius // 2
-    prints = write_table(prints.select("fp").distinct(), "prints")
-    n = prints.count()
-    blocks = BLOCKS if n <= MOST else -(-2081 * n // MOST)
-    bits = (blocks - 1).bit_length()
-    dealt = prints.mapInArrow(lambda it: _deal(it, half, bits), "block long, prints binary")
-    found = dealt.groupBy("block").applyInArrow(lambda t: _match(t, half, bits, slice_rows), "a long, b long")
-    return components(found)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """``id, fp, component`` of each row: the smallest identifier among the rows it is linked to, itself included."""
     rows = write_table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    roots = link_fingerprints(rows, radius)
+    roots = components(meetings(rows.withColumn("family", F.lit(0)), radius))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("low")).join(roots, F.col("fp") == F.col("node"), "left")
     nodes = write_table(nodes.select("fp", F.coalesce("root", "fp").alias("root"), "low"), "nodes")
     lows = nodes.groupBy("root").agg(F.min("low").alias("component"))
@@ -243,6 +247,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
+#: Families of fingerprints over distinct words, bins of a sketch, and what an estimate may lack, two standard errors.
+FAMILIES, BINS, LACK = 4, 256, 0.05
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash from a hash, for family ``k``."""
+    h = h + np.uint64((k * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_prints(words: list[bytes], families: int = FAMILIES) -> list[int]:
+    """Fingerprints over a text's distinct words, as signed longs."""
+    import xxhash
+
+    base = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
+    out = [0] * families
+    if len(base):
+        for k in range(families):
+            bits = 2 * _bit_counts(_mixed(base, k)) > len(base)
+            out[k] = int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+    return out
+
+
+def sketch(words: list[bytes], shingle: int = 5) -> bytes:
+    """One-permutation MinHash of the word shingles: 16 bits of each bin's least hash; 0xFFFF where a bin is empty."""
+    import xxhash
+
+    least = np.full(BINS, 0xFFFFFFFF, np.uint64)
+    if words:
+        flat = b" ".join(words)
+        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
+        for k in range(0, n, 50_000):
+            m = min(n, k + 50_000)
+            hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[k:m], ends[k + min(shingle, len(words)) - 1 :])], np.uint64)
+            np.minimum.at(least, (hashes >> np.uint64(56)).astype(np.int64), hashes & np.uint64(0xFFFFFFFE))
+    low = np.minimum((least >> np.uint64(1)) & np.uint64(0xFFFF), np.uint64(0xFFFE))
+    return np.where(least == 0xFFFFFFFF, np.uint64(0xFFFF), low).astype("<u2").tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """The estimate of two texts' Jaccard similarity; 1 for two texts without words."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    either = np.count_nonzero((x != 0xFFFF) | (y != 0xFFFF))
+    return np.count_nonzero((x == y) & (x != 0xFFFF)) / either if either else 1.0
+
+
+def _described(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part, prints, sketches = batch.slice(k, 500), [], []
+            for t in part.column(2):
+                words = (t.as_py() or "").encode().lower().split()
+                prints.append(word_prints(words))
+                sketches.append(sketch(words, shingle))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "key", "fps", "sketch"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = [resemblance(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+
+def _key(text_col: str):
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+
+
+def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``key, root, low`` of each distinct text (null counts as empty): the class that it belongs to and its least identifier.
+
+    Near copies differ in a few words, which changes many shingles and so many bits of a
+    fingerprint over shingles; over distinct words it changes few. Texts that meet within 4 bits
+    in one of several families of such fingerprints are candidates, and a sketch of their word shingles verifies each.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = source.mapInArrow(lambda it: _described(it, shingle), "id long, key string, fps array<long>, sketch binary")
+    texts = write_table(rows.groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("fps", "sketch")).alias("x")).select("key", "low", "x.*"), "texts")
+    prints = texts.select("key", F.posexplode("fps").alias("family", "fp"))
+    first = write_table(prints.groupBy("family", "fp").agg(F.min("key").alias("key")), "first")
+    met = meetings(first.select("family", "fp"), spanning=False)
+    at = lambda c: first.select("family", F.col("fp").alias(c), F.col("key").alias(f"key_{c}"))
+    across = met.distinct().join(at("a"), ["family", "a"]).join(at("b"), ["family", "b"]).select("key_a", "key_b")
+    equal = prints.join(first.withColumnRenamed("key", "key_b"), ["family", "fp"]).select(F.col("key").alias("key_a"), "key_b").where("key_a <> key_b")
+    pairs = across.unionByName(equal).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).where("a <> b").distinct()
+    of = lambda c: texts.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(lambda it: _verified(it, similarity - LACK), "a string, b string")
+    roots = components(links)
+    return write_table(texts.join(roots, texts.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"), "low"), "classes")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class: that with the least identifier, ties by the text's hash, with the columns that ``docs`` came with."""
+    classes = copy_classes(docs, id_col, text_col, **options)
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("x")).select(F.col("x.low").alias("__low"), F.col("x.key").alias("__key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(text_col).alias("__own"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"))
+    kept = kept.select("__key", F.coalesce(F.col("__low").cast("string"), F.lit("")).alias("__low"))
+    there = rows.join(kept, (F.col("__own") == F.col("__key")) & (F.col("__id") == F.col("__low")), "left_semi")
+    return there.groupBy("__own", "__id").agg(F.first("row").alias("row")).select("row.*")
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)
