@@ -1,11 +1,529 @@
-"""The registered queries and their SQL equivalents."""
+"""The registered queries and their SQL equivalents.
+
+The tables hold few credentials, so most queries scan scalars that are planted by the same expressions, from the
+columns of whole tables, on both sides. Shapes that scanners look for are put together at run time.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.patterns import RE2
+from ..functions.scalar import decode_secret, entropy, location, mask, sarif_level, sensitive_key, tokens
+from ..operators import detect, policy, precedence, summarise, validate
+from ..operators.detect import Rule
+from ..sources.manifests import extract, from_documents
+from ..sources.rules import rules_relation
+
+TOKEN_RULE = Rule("corp.hex-token", "Hexadecimal token", "high", "medium", r'token = "[0-9a-f]{40}"')
+MAIL_RULE = Rule("corp.mail", "Mail address", "low", "low", r"[a-z]+\.[0-9]+@mail[0-9]+\.example\.com")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def q(text: str) -> str:
+    """A SQL string."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+# ---- planted scalars: (file, line, column, field_path, key_name, resource, kind, value)
+
+_KEY = "CAST(o_orderkey AS STRING)"
+_PLANT = {
+    "file": "concat('repo/', CAST(o_custkey % 50 AS STRING), '.yaml')",
+    "line": "CAST(o_orderkey % 200 + 1 AS INT)",
+    "column": "CAST(o_custkey % 7 + 1 AS INT)",
+    "field_path": "CASE WHEN o_orderkey % 5 IN (1, 3) THEN concat('spec.containers[0].env[', CAST(o_custkey % 9 AS STRING), '].value') ELSE concat('data.k', CAST(o_custkey % 9 AS STRING)) END",
+    "key_name": "CASE o_orderkey % 5 WHEN 0 THEN 'aws_access_key' WHEN 1 THEN 'AWS_SECRET_ACCESS_KEY' WHEN 2 THEN 'google_api_key' WHEN 3 THEN 'DB_PASSWORD' ELSE 'tls_key' END",
+    "resource": "CASE WHEN o_custkey % 4 = 0 THEN '' ELSE concat('app-', CAST(o_custkey % 20 AS STRING)) END",
+    "kind": "CASE WHEN o_custkey % 3 = 0 THEN 'Deployment' WHEN o_custkey % 3 = 1 THEN 'ConfigMap' ELSE '' END",
+    "value": f"""CASE o_orderkey % 5
+        WHEN 0 THEN concat('AKI', 'A', upper(substr(md5({_KEY}), 1, 16)))
+        WHEN 1 THEN concat(substr(md5({_KEY}), 1, 20), upper(substr(md5({_KEY}), 13, 20)))
+        WHEN 2 THEN concat('AIz', 'a', substr(md5({_KEY}), 1, 32), '-_x')
+        WHEN 3 THEN CASE WHEN o_custkey % 6 = 0 THEN '$(DB_PASS)' WHEN o_custkey % 6 = 1 THEN 'changeme' WHEN o_custkey % 6 = 2 THEN concat('Zx9!Kq2#mW7$', upper(substr(md5({_KEY}), 1, 8)), 'rT5&yU8*') ELSE concat('p!', substr(md5({_KEY}), 1, 5 + CAST(o_custkey % 20 AS INT))) END
+        ELSE concat('-----BEGIN RSA PRIV', 'ATE KEY-----', md5({_KEY})) END""",
+}
+
+
+def _duck(sql: str) -> str:
+    return sql.replace("AS STRING", "AS VARCHAR")
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.as_scalars(table(spark, sf_dir, "orders"), **{k: F.expr(v) for k, v in _PLANT.items()})
+
+
+PLANTED = f"planted AS (SELECT {', '.join(f'{_duck(v)} AS {k}' for k, v in _PLANT.items())} FROM orders)".replace("column,", '"column",').replace(" AS column", ' AS "column"')
+
+# ---- detectors in SQL
+
+BUILT = detect.BUILT_IN
+
+
+def _seen(name: str) -> str:
+    i, d, s, c = BUILT[name]
+    return f"{q(i)} AS rule_id, {q(d)} AS description, {q(s)} AS severity, {q(c)} AS confidence"
+
+
+MASK = "CASE WHEN v = '' THEN '' WHEN strlen(v) <= 8 THEN '********' ELSE left(v, 4) || repeat('*', length(v) - 8) || right(v, 4) END"
+TOKENS = "list_filter(regexp_split_to_array({v}, '[\\x00-\\x20\"''`,]'), lambda x: x <> '')"
+ENTROPY = "coalesce(list_sum(list_transform(list_distinct(string_split({t}, '')), lambda c: -((length({t}) - length(replace({t}, c, ''))) / strlen({t})) * log2((length({t}) - length(replace({t}, c, ''))) / strlen({t})))), 0)"
+
+
+def rlike(x: str, name: str) -> str:
+    return f"regexp_matches({x}, {q(RE2[name])})"
+
+
+def template_sql(x: str) -> str:
+    around = lambda a, b: f"(starts_with({x}, {q(a)}) AND ends_with({x}, {q(b)}))"
+    return f"({around('{{', '}}')} OR {around('${', '}')} OR {around('$(', ')')} OR ({around('<', '>')} AND NOT contains({x}, ' ')))"
+
+
+def suppressors_sql(t: str) -> dict[str, str]:
+    ssh = " OR ".join(f"starts_with({t}, {q(p)})" for p in detect.SSH_BASE64)
+    head = f"substr({t}, 1, least(64, strlen({t}) - strlen({t}) % 4))"
+    text = f"from_base64(CASE WHEN regexp_matches({head}, '^([A-Za-z0-9+/]{{4}})*([A-Za-z0-9+/]{{2}}==|[A-Za-z0-9+/]{{3}}=)?$') THEN {head} ELSE '' END)"
+    text = f"CASE WHEN regexp_matches(hex({text}), '^([0-7].)*$') THEN decode({text}) ELSE '' END"
+    return {
+        "number": rlike(t, "NUMBER"), "uuid": rlike(t, "UUID"), "hex_digest": rlike(t, "HEX_DIGEST"), "image": rlike(t, "IMAGE"),
+        "dns_name": f"({rlike(t, 'DNS_NAME')} AND NOT contains({t}, '_'))", "ssh_base64": f"({ssh})",
+        "base64_public": f"(least(64, strlen({t}) - strlen({t}) % 4) >= 40 AND ({rlike(text, 'PEM_PUBLIC')} OR {rlike(text, 'SSH_PUBLIC')}))",
+        "reference": rlike(t, "REFERENCE"), "url": f"({rlike(t, 'URL')} AND NOT {rlike(t, 'URL_USER')})", "crypt_hash": rlike(t, "CRYPT_HASH"),
+        "data_uri": rlike(t, "DATA_URI"), "template": rlike(t, "TEMPLATE"), "placeholder": rlike(t, "PLACEHOLDER"),
+    }
+
+
+def dense_sql(t: str, threshold: float, allow: tuple[str, ...] = ()) -> str:
+    known = " OR ".join(suppressors_sql(t).values())
+    own = "".join(f" AND NOT regexp_matches({t}, {q(p)})" for p in allow)
+    return f"strlen({t}) >= 16 AND NOT ({known}){own} AND {ENTROPY.format(t=t)} >= {threshold}"
+
+
+def value_suppressed_sql(v: str) -> str:
+    t = f"trim({v}, ' \t\n\r\f\v')"
+    return f"({rlike(t, 'SSH_PUBLIC')} OR ({rlike(t, 'PEM_PUBLIC')} AND NOT {rlike(t, 'PEM_PRIVATE')}) OR {template_sql(t)} OR {rlike(t, 'CRYPT_HASH')} OR {rlike(t, 'DATA_URI')})"
+
+
+def matches_sql(source: str, names: tuple[str, ...], threshold: float = 4.5, allow: tuple[str, ...] = ()) -> str:
+    """Raw matches of a relation of scalars: its columns, seq, pos, rule columns, v."""
+    key = lambda n: f"({rlike('key_name', n)} OR {rlike('field_path', n)})"
+    take = lambda n, where="true": f"SELECT *, unnest(regexp_extract_all(value, {q(RE2[n])}, 1)) AS v, {{}} FROM {source} WHERE {where}"
+    trimmed = "trim(value, ' \t\n\r\f\v')"
+    body = {
+        "aws_key": take("AWS_KEY_ID"),
+        "aws_secret": take("AWS_SECRET", key("AWS_CONTEXT")),
+        "google_key": take("GOOGLE_KEY"),
+        "private_key": f"SELECT *, regexp_extract(value, {q(RE2['PRIVATE_KEY'])}) AS v, {{}} FROM {source} WHERE {rlike('value', 'PRIVATE_KEY')}",
+        "jwt": take("JWT"),
+        "entropy": f"SELECT * REPLACE (v AS v) FROM (SELECT *, unnest({TOKENS.format(v='value')}) AS v, {{}} FROM {source} WHERE {key('CONTEXT')} AND NOT {value_suppressed_sql('value')}) WHERE {dense_sql('v', threshold, allow)}",
+        "env": f"SELECT *, {trimmed} AS v, {{}} FROM {source} WHERE (contains(field_path, '.env[') OR starts_with(field_path, 'env[')) AND {trimmed} <> '' AND NOT {rlike(trimmed, 'VARIABLE')} AND NOT {template_sql(trimmed)} AND NOT {rlike(trimmed, 'PLACEHOLDER')} AND {rlike('key_name', 'ENV_NAME')}",
+    }
+    parts = []
+    for name in names:
+        extra = f"{detect.ALL.index(name)} AS seq, {_seen(name)}"
+        sql = body[name].replace("{}", extra)
+        parts.append(f"SELECT *, row_number() OVER () AS pos FROM ({sql})" + (" WHERE len(list_distinct(string_split(v, ''))) > 8" if name == "aws_secret" else ""))
+    return " UNION ALL ".join(parts)
+
+
+FINDING = f'rule_id, description, severity, confidence, file, line, "column", field_path, resource, kind, {MASK} AS match'
+PLACE = 'file, line, "column", field_path, value'  # a scalar: its place and what stands there
+SPECIFIC = f"rule_id NOT IN ({q(detect.ENTROPY)}, {q(detect.ENV)})"
+MAIN = ("aws_key", "aws_secret", "google_key", "private_key", "entropy", "env")
+
+
+def findings_cte(names: tuple[str, ...] = MAIN, **options) -> str:
+    """CTEs up to ``findings``: resolved within each scalar."""
+    return f"""WITH {PLANTED}, numbered AS (SELECT *, row_number() OVER () AS id FROM planted),
+    raw AS ({matches_sql('numbered', names, **options)}),
+    marked AS (SELECT *, max(({SPECIFIC})::INT) OVER (PARTITION BY id) AS has_specific, max((rule_id = {q(detect.ENV)})::INT) OVER (PARTITION BY id) AS has_env FROM raw),
+    strong AS (SELECT * FROM marked WHERE NOT ((NOT {SPECIFIC} AND has_specific = 1) OR (rule_id = {q(detect.ENTROPY)} AND has_env = 1))),
+    firsts AS (SELECT * FROM strong QUALIFY row_number() OVER (PARTITION BY id, rule_id ORDER BY seq, pos) = 1),
+    findings AS (SELECT {FINDING} FROM firsts)"""
+
+
+NAMED = 'rule_id, description, severity, confidence, file, line, "column", field_path, resource, kind, match'
+LAST = "struct_pack(a := file, b := line, c := \"column\", d := rule_id, e := field_path)"
+LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity = 'low' THEN 'note' ELSE 'warning' END"
+REMEDY = "CASE rule_id " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in summarise.REMEDIATION.items()) + f" ELSE {q(summarise.OTHER_REMEDIATION)} END"
+RANK = "CASE lower(severity) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
+
+
+def found(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = MAIN, **options) -> DataFrame:
+    return detect.findings(planted(spark, sf_dir), names, **options)
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A planted errors relation: suppliers in debt."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal < 0")
+    return s.select(F.concat(F.lit("repo/"), (F.col("s_suppkey") % 60).cast("string"), F.lit(".yaml")).alias("file"), F.concat(F.lit("failed to read file: "), F.col("s_name")).alias("message"))
+
+
+ERRORS = "errors AS (SELECT 'repo/' || (s_suppkey % 60) || '.yaml' AS file, 'failed to read file: ' || s_name AS message FROM supplier WHERE s_acctbal < 0)"
+COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in summarise.SEVERITIES)
+TOTAL = f"total AS (SELECT (SELECT count(DISTINCT o_custkey % 50) FROM orders) AS files_scanned, count(*) AS findings, (SELECT count(*) FROM errors) AS errors, {COUNTS}, 0::BIGINT AS duration_ms, '{summarise.SCANNER_VERSION}' AS scanner_version FROM findings)"
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def one(name: str) -> None:
+    """A query of one detector over the planted scalars."""
+    register(f"{name}_scan", findings_cte((name,)) + f" SELECT {NAMED} FROM findings")(lambda s, d: found(s, d, (name,)))
+
+
+for _name in ("aws_key", "aws_secret", "google_key", "private_key", "env"):
+    one(_name)
+
+
+def texts(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    return detect.as_scalars(table(spark, sf_dir, "documents"), file=F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), key_name=F.lit(key), field_path=F.lit(f"data.{key}"), value="text")
+
+
+def texts_cte(key: str) -> str:
+    return f"""WITH numbered AS (SELECT 'doc/' || doc_id AS file, 1 AS line, 1 AS "column", 'data.{key}' AS field_path, '{key}' AS key_name, '' AS resource, '' AS kind, coalesce(text, '') AS value, row_number() OVER () AS id FROM documents)"""
+
+
+@register("aws_secret_documents", texts_cte("aws_secret_access_key") + f", raw AS ({matches_sql('numbered', ('aws_secret',))}), firsts AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1) SELECT {FINDING} FROM firsts")
+def aws_secret_documents(spark, sf_dir):
+    return detect.findings(texts(spark, sf_dir, "aws_secret_access_key"), ("aws_secret",))
+
+
+def _custom_sql(source: str) -> str:
+    parts = [f"SELECT *, {q(r.id)} AS rule_id, {q(r.description)} AS description, {q(r.severity)} AS severity, {q(r.confidence)} AS confidence, regexp_extract(value, {q(r.pattern)}) AS v FROM {source} WHERE regexp_matches(value, {q(r.pattern)})" for r in (TOKEN_RULE, MAIL_RULE)]
+    return f"SELECT {FINDING} FROM ({' UNION ALL '.join(parts)})"
+
+
+@register("custom_rule_documents", texts_cte("note") + " " + _custom_sql("numbered"))
+def custom_rule_documents(spark, sf_dir):
+    return detect.findings(texts(spark, sf_dir, "note"), ("custom",), rules=(TOKEN_RULE, MAIL_RULE))
+
+
+@register("custom_rule_pages", """WITH numbered AS (SELECT 'page/' || page_id AS file, 1 AS line, 1 AS "column", 'html' AS field_path, '' AS key_name, '' AS resource, '' AS kind, coalesce(html, '') AS value FROM pages) """ + _custom_sql("numbered"))
+def custom_rule_pages(spark, sf_dir):
+    pages = detect.as_scalars(table(spark, sf_dir, "pages"), file=F.concat(F.lit("page/"), F.col("page_id").cast("string")), field_path=F.lit("html"), value="html")
+    return detect.findings(pages, ("custom",), rules=(TOKEN_RULE, MAIL_RULE))
+
+
+@register("custom_rule_join", texts_cte("note") + " " + _custom_sql("numbered"))
+def custom_rule_join(spark, sf_dir):
+    return detect.cross_rules(texts(spark, sf_dir, "note"), rules_relation(spark, [TOKEN_RULE, MAIL_RULE]))
+
+
+_KEYED = "CASE c_custkey % 8 WHEN 0 THEN 'author' WHEN 1 THEN 'replicas' WHEN 2 THEN 'DB_PASS' WHEN 3 THEN 'apiKey' WHEN 4 THEN 'image' WHEN 5 THEN 'Token' WHEN 6 THEN 'mountPath' ELSE 'credentials' END"
+
+
+@register("sensitive_keys", f"SELECT key_name, sensitive, count(*) AS n FROM (SELECT key_name, regexp_matches(lower(key_name), 'pass|secret|token|api_key|apikey|auth|credential|private_key|key') AS sensitive FROM (SELECT {_KEYED} AS key_name FROM customer)) GROUP BY ALL")
+def sensitive_keys(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.expr(_KEYED).alias("key_name"))
+    return keys.withColumn("sensitive", sensitive_key(F.col("key_name"))).groupBy("key_name", "sensitive").agg(F.count("*").alias("n"))
+
+
+@register("mask_values", f"SELECT c_custkey, {MASK} AS match FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE substr(c_name, 1, 3 + (c_custkey % 16)::INT) END AS v FROM customer)")
+def mask_values(spark, sf_dir):
+    v = F.when(F.col("c_custkey") % 9 == 0, "").otherwise(F.substr("c_name", F.lit(1), (3 + F.col("c_custkey") % 16).cast("int")))
+    return table(spark, sf_dir, "customer").select("c_custkey", mask(F.concat(F.lit(" \t"), v, F.lit("\n"))).alias("match"))
+
+
+@register("tokenize_documents", f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_filter(t, lambda x: strlen(x) >= 16))::BIGINT AS n_long, coalesce(list_max(list_transform(t, lambda x: strlen(x))), 0)::BIGINT AS longest FROM (SELECT doc_id, {TOKENS.format(v='text')} AS t FROM documents)")
+def tokenize_documents(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    size = lambda x: F.octet_length(x)
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda x: size(x) >= 16)).cast("long").alias("n_long"), F.coalesce(F.array_max(F.transform("t", size)), F.lit(0)).cast("long").alias("longest"))
+
+
+@register("token_entropy_topk", f"SELECT token, round(h, 6) AS h, n FROM (SELECT token, {ENTROPY.format(t='token')} AS h, n FROM (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS.format(v='text')}) AS token FROM documents) WHERE strlen(token) >= 16 GROUP BY token)) ORDER BY round(h, 6) DESC, token LIMIT 100")
+def token_entropy_topk(spark, sf_dir):
+    long = table(spark, sf_dir, "documents").select(F.explode(F.filter(tokens(F.col("text")), lambda x: F.octet_length(x) >= 16)).alias("token"))
+    counted = long.groupBy("token").agg(F.count("*").alias("n"))
+    return counted.select("token", F.round(entropy(F.col("token")), 6).alias("h"), "n").orderBy(F.desc("h"), "token").limit(100)
+
+
+for _name, _threshold, _allow in (("default", 4.5, ()), ("low", 3.5, ()), ("allowlisted", 3.5, ("^p!", "[0-9]{3}"))):
+    _sql = findings_cte(("entropy",), threshold=_threshold, allow=_allow) + f" SELECT {NAMED} FROM findings"
+    register(f"entropy_scan_{_name}", _sql)(lambda s, d, t=_threshold, a=_allow: found(s, d, ("entropy",), threshold=t, allow=a))
+_sql = texts_cte("secret") + f", raw AS ({matches_sql('numbered', ('entropy',), 3.5)}), hits AS (SELECT DISTINCT file, v FROM raw) SELECT file, count(*) AS n FROM hits GROUP BY file"
+
+
+@register("entropy_documents", _sql)
+def entropy_documents(spark, sf_dir):
+    hits = detect.all_matches(texts(spark, sf_dir, "secret"), ("entropy",), threshold=3.5)
+    return hits.select("file", F.explode(F.array_distinct(F.transform("matches", lambda m: m.value))).alias("v")).groupBy("file").agg(F.count("*").alias("n"))
+
+
+#: Shapes for the suppressors, each with a customer's key in it.
+_SHAPES = [
+    "{k}", "0{k}0000000000000000", "123e4567-e89b-12d3-a456-{k12}", "{md5}", "registry.example.com/team/{md5}:1.4.2", "abc.{md5}.svc", "AAAAB3NzaC1yc2E{md5}",
+    "arn:aws:secretsmanager:eu-west-1:{k}:secret:x", "vault:secret/data/{k}", "https://example.com/v1/{md5}?X=Y", "postgres://user:{md5}@db:5432/x", "$2y$10$" + "{md5}Zz",
+    "data:image/png;base64{md5}", "{{{{.Values.{md5}}}}}", "CHANGEME-BEFORE-DEPLOY-{k}", "Zx9!Kq2#{md5}", "azurekeyvault://p/{md5}", "<{md5}-token>", "Secret_{md5}",
+    "LS0tLS1CRUdJTiBDRVJUSUZJQ0FURS0tLS0tCk1JSURkekND{md5}", "LS0tLS1CRUdJTiBQUklWQVRFIEtFWS0tLS0tCk1JSURkekND{md5}",
+]
+
+
+def _shape_sql(kind: str) -> str:
+    parts = []
+    for s in _SHAPES:
+        text = s.replace("{{", "\0").replace("}}", "\1")
+        for name, sql in (("{k12}", f"lpad(CAST(c_custkey AS {kind}), 12, '0')"), ("{k}", f"CAST(c_custkey AS {kind})"), ("{md5}", f"md5(CAST(c_custkey AS {kind}))")):
+            text = text.replace(name, f"\2{sql}\2")
+        pieces = [q(p.replace("\0", "{").replace("\1", "}")) if i % 2 == 0 else p for i, p in enumerate(text.split("\2"))]
+        parts.append(f"concat({', '.join(pieces)})")
+    return parts
+
+
+def _shapes_union(kind: str) -> str:
+    return " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_shape_sql(kind)))
+
+
+_N = len(_SHAPES)
+
+
+@register("suppressor_matrix", f"SELECT c_custkey, shape, {', '.join(f'{x} AS {k}' for k, x in suppressors_sql('t').items())}, round({ENTROPY.format(t='t')}, 6) AS h FROM (SELECT c_custkey, c_custkey % {_N} AS shape, CASE c_custkey % {_N} {_shapes_union('VARCHAR')} END AS t FROM customer)")
+def suppressor_matrix(spark, sf_dir):
+    t = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % _N).alias("shape"), F.expr(f"CASE c_custkey % {_N} {_shapes_union('STRING')} END").alias("t"))
+    return t.select("c_custkey", "shape", *[x.alias(k) for k, x in detect.token_suppressors(F.col("t")).items()], F.round(entropy(F.col("t")), 6).alias("h"))
+
+
+@register("secret_base64_decode", "SELECT s_suppkey, s_suppkey % 3 = 2 AS failed, CASE WHEN s_suppkey % 3 = 2 THEN NULL ELSE s_name || '/' || s_suppkey END AS text FROM supplier")
+def secret_base64_decode(spark, sf_dir):
+    """Padded, unpadded and broken."""
+    b64 = F.base64(F.concat("s_name", F.lit("/"), F.col("s_suppkey").cast("string")).cast("binary"))
+    v = F.when(F.col("s_suppkey") % 3 == 0, b64).when(F.col("s_suppkey") % 3 == 1, F.regexp_replace(b64, "=+$", "")).otherwise(F.concat(F.lit("*"), b64))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", decode_secret(v).alias("d")).select("s_suppkey", F.col("d.error").alias("failed"), "d.text")
+
+
+@register("binary_secret_skip", "SELECT p_partkey, p_partkey % 3 = 0 AS readable FROM part")
+def binary_secret_skip(spark, sf_dir):
+    """Text, a NUL byte, and bytes that aren't UTF-8."""
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name").cast("binary")).when(F.col("p_partkey") % 3 == 1, F.concat(F.col("p_name").cast("binary"), F.lit(b"\0"))).otherwise(F.concat(F.lit(b"\xff\xfe"), F.col("p_name").cast("binary")))
+    return table(spark, sf_dir, "part").select("p_partkey", decode_secret(F.base64(raw)).text.isNotNull().alias("readable"))
+
+
+_JWT_HEAD = '''CASE n_nationkey % 4 WHEN 0 THEN concat('{"alg":"HS256","kid":"', CAST(n_nationkey AS STRING), '"}') WHEN 2 THEN '{"a":1} x' ELSE '{"alg":"none"}' END'''
+_JWT_BODY = '''CASE n_nationkey % 4 WHEN 1 THEN '[1, 2, 3]' ELSE concat('{"sub":"', n_name, '"}') END'''
+
+
+@register("jwt_structure", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 IN (0, 3) THEN 1 ELSE 0 END::BIGINT AS n FROM nation")
+def jwt_structure(spark, sf_dir):
+    """Objects in both parts; a list as payload; text after the header's object. The header always starts like one."""
+    url = lambda x: F.regexp_replace(F.translate(F.base64(x.cast("binary")), "+/", "-_"), "=+$", "")
+    head, body = F.expr(_JWT_HEAD), F.expr(_JWT_BODY)
+    jwts = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Bearer "), url(head), F.lit("."), url(body), F.lit(".c2ln")).alias("value"))
+    scalars = detect.as_scalars(jwts, file=F.col("n_nationkey").cast("string"), value="value", key_name=F.lit("x"), scan_mode=F.lit("jwt_only"))
+    hits = detect.all_matches(scalars, ("jwt",))
+    return hits.select(F.col("file").cast("long").alias("n_nationkey"), F.size("matches").cast("long").alias("n"))
+
+
+# ---- precedence over places: a coarser place makes scalars collide
+
+_COARSE = {"file": "concat('repo/', CAST(o_custkey % 20 AS STRING), '.yaml')", "line": "CAST(o_orderkey % 11 + 1 AS INT)", "column": "1", "field_path": "concat('spec.containers[0].env[', CAST(o_custkey % 3 AS STRING), '].value')", "key_name": "CASE WHEN o_orderkey % 5 = 0 THEN 'aws_key' ELSE 'DB_PASSWORD' END", "value": _PLANT["value"]}
+COARSE = f"coarse AS (SELECT o_orderkey AS id, '' AS resource, '' AS kind, {', '.join(f'{_duck(v)} AS {k}' for k, v in _COARSE.items())} FROM orders)".replace(" AS column", ' AS "column"')
+PLACES = 'file, line, "column", field_path'
+
+
+def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.as_scalars(table(spark, sf_dir, "orders"), **{k: F.expr(v) for k, v in _COARSE.items()})
+
+
+_RAW = f"WITH {COARSE}, raw AS ({matches_sql('coarse', ('aws_key', 'private_key', 'entropy', 'env'), 3.5)}), findings AS (SELECT {FINDING} FROM raw)"
+_DEDUP = _RAW + f", marked AS (SELECT *, max(({SPECIFIC})::INT) OVER (PARTITION BY {PLACES}) AS has_specific, max((rule_id = {q(detect.ENV)})::INT) OVER (PARTITION BY {PLACES}) AS has_env FROM findings), strong AS (SELECT {NAMED} FROM marked WHERE NOT ((NOT {SPECIFIC} AND has_specific = 1) OR (rule_id = {q(detect.ENTROPY)} AND has_env = 1)))"
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.findings(coarse(spark, sf_dir), ("aws_key", "private_key", "entropy", "env"), resolve=False, threshold=3.5)
+
+
+register("precedence_window", _DEDUP + f" SELECT {NAMED} FROM strong")(lambda s, d: precedence.suppress(raw(s, d)))
+register("precedence_joins", _DEDUP + f" SELECT {NAMED} FROM strong")(lambda s, d: precedence.suppress_by_joins(raw(s, d)))
+register("first_of_each", _DEDUP + f" SELECT {NAMED} FROM strong QUALIFY row_number() OVER (PARTITION BY {PLACES}, rule_id ORDER BY match) = 1")(lambda s, d: precedence.first_of_each(precedence.suppress(raw(s, d)), "match"))
+register("findings_all", findings_cte() + f" SELECT {NAMED} FROM findings")(found)
+register("findings_ordered", findings_cte() + f' SELECT {NAMED} FROM findings ORDER BY file, line, "column", rule_id, field_path')(lambda s, d: precedence.ordered(found(s, d)))
+register("errors_ordered", f"WITH {ERRORS} SELECT * FROM errors ORDER BY file, message")(lambda s, d: precedence.ordered_errors(errors(s, d)))
+
+
+@register("numbered_findings", findings_cte() + f', once AS (SELECT DISTINCT {NAMED} FROM findings) SELECT row_number() OVER (ORDER BY file, line, "column", rule_id, field_path, match)::BIGINT AS number, rule_id, file FROM once')
+def numbered_findings(spark, sf_dir):
+    """Numbers in report order: rows by file first, then each file's offset, so that no task holds all rows."""
+    from pyspark.sql import Window
+
+    once = found(spark, sf_dir).distinct()
+    inside = once.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line", "column", "rule_id", "field_path", "match")))
+    per_file = once.groupBy("file").agg(F.count("*").alias("rows"))
+    offsets = per_file.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(offsets, "file").select((F.col("before") + F.col("n")).cast("long").alias("number"), "rule_id", "file")
+
+
+# ---- aggregates
+
+
+def total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("f")).distinct()
+    return summarise.summary(found(spark, sf_dir), errors(spark, sf_dir), files)
+
+
+_ALL = f"{findings_cte()}, {ERRORS}, {TOTAL}"
+register("summary_counts", _ALL + " SELECT * FROM total")(total)
+register("scan_status", _ALL + " SELECT *, CASE WHEN errors > 0 THEN 'ERROR' WHEN findings > 0 THEN 'FAILED' ELSE 'PASSED' END AS status, CASE WHEN errors > 0 THEN 2 WHEN findings > 0 THEN 1 ELSE 0 END::INT AS exit_code FROM total")(lambda s, d: summarise.status(total(s, d)))
+register("fail_on_gate", _ALL + " SELECT *, (critical + high)::BIGINT AS at_or_above, errors > 0 OR critical + high > 0 AS failed FROM total")(lambda s, d: summarise.fail_on(total(s, d), "high"))
+register("rule_distribution", findings_cte() + f" SELECT rule_id, count(*) AS count, max_by(severity, {LAST}) AS severity, max_by(description, {LAST}) AS description, {REMEDY} AS remediation FROM findings GROUP BY rule_id")(lambda s, d: summarise.rule_distribution(found(s, d)))
+register("remediation_join", findings_cte() + f" SELECT {NAMED}, {REMEDY} AS remediation FROM findings")(lambda s, d: summarise.with_remediation(found(s, d)))
+register("affected_files", findings_cte() + " SELECT file, count(*) AS findings, max(line) AS max_line FROM findings GROUP BY file")(lambda s, d: summarise.affected_files(found(s, d)))
+register("resource_groups", findings_cte() + " SELECT coalesce(nullif(kind, ''), 'Resource') || '/' || coalesce(nullif(resource, ''), 'Unnamed') AS resource_key, count(*) AS findings FROM findings GROUP BY 1")(lambda s, d: summarise.resource_groups(found(s, d)))
+register("sarif_rules", findings_cte() + f", f AS (SELECT rule_id, min_by(description, {LAST}) AS description, min_by(severity, {LAST}) AS severity FROM findings GROUP BY rule_id) SELECT rule_id, description, {LEVEL} AS level FROM f")(lambda s, d: summarise.sarif_rules(found(s, d)))
+register("sarif_results", findings_cte() + f""" SELECT rule_id, {LEVEL} AS level, 'Potential secret detected by rule ' || rule_id || ' in field ' || field_path AS message, file AS uri, greatest(1, line) AS start_line, greatest(1, "column") AS start_column, sha256(concat_ws(':', rule_id, file, line, "column", field_path)) AS fingerprint FROM findings""")(lambda s, d: summarise.sarif_results(found(s, d)))
+register("severity_policy", findings_cte() + f" SELECT {NAMED} FROM findings WHERE {RANK} >= 4")(lambda s, d: summarise.min_severity(found(s, d), "critical"))
+
+
+@register("text_rows", findings_cte() + """ SELECT upper(severity) AS severity, upper(confidence) AS confidence, rule_id, concat_ws(':', file, line, "column") AS location, coalesce(nullif(resource, ''), '-') AS resource, coalesce(nullif(field_path, ''), '-') AS field_path, match FROM findings""")
+def text_rows(spark, sf_dir):
+    dash = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-")).alias(c)
+    return found(spark, sf_dir).select(F.upper("severity").alias("severity"), F.upper("confidence").alias("confidence"), "rule_id", location(F.col("file"), F.col("line"), F.col("column")).alias("location"), dash("resource"), dash("field_path"), "match")
+
+
+_PREFIXES = ["repo/1", "repo/2"]
+register("outside_prefixes", f"{findings_cte()}, {ERRORS} SELECT 'finding' AS kind, file FROM findings WHERE NOT (starts_with(file, 'repo/1') OR starts_with(file, 'repo/2')) UNION ALL SELECT 'error' AS kind, file FROM errors WHERE file NOT IN ('repo/3.yaml')")(lambda s, d: summarise.outside(found(s, d), errors(s, d), _PREFIXES, ["repo/3.yaml"]))
+
+# ---- admission: a request for each customer, with the findings of the customer's file
+
+_NS = "CASE c_custkey % 4 WHEN 0 THEN 'Kube-System' WHEN 1 THEN 'prod' WHEN 2 THEN '' ELSE 'monitoring' END"
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by place are folded by file with a fixed number of files, so arrays stay short."""
+    own = found(spark, sf_dir, ("aws_key", "entropy", "env"), threshold=3.5)
+    firsts = own.groupBy("file", "rule_id", "severity").agg(F.min("field_path").alias("field_path"))
+    lists = firsts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("rule_id", "severity", "field_path"))).alias("findings"))
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.expr(_NS).alias("namespace"), F.lit("Deployment").alias("kind"), F.col("c_name").alias("name"), F.concat(F.lit("repo/"), (F.col("c_custkey") % 60).cast("string"), F.lit(".yaml")).alias("file"))
+    empty = F.array().cast("array<struct<rule_id: string, severity: string, field_path: string>>")
+    return who.join(F.broadcast(lists), "file", "left").withColumn("findings", F.coalesce("findings", empty))
+
+
+def _decided(mode: str, level: int) -> str:
+    deny = "hit" if mode != "warn" else "false"
+    return findings_cte(("aws_key", "entropy", "env"), threshold=3.5) + f""", firsts2 AS (SELECT file, rule_id, severity, min(field_path) AS field_path FROM findings GROUP BY ALL),
+    active AS (SELECT file, first(rule_id ORDER BY rule_id, severity, field_path) AS r, first(field_path ORDER BY rule_id, severity, field_path) AS p,
+      string_agg('potential credential detected by rule ' || rule_id || ' in field ' || field_path, chr(10) ORDER BY rule_id, severity, field_path) AS w FROM firsts2 WHERE {RANK} >= {level} GROUP BY file),
+    who AS (SELECT c_custkey AS uid, {_NS} AS namespace, c_name AS name, 'repo/' || (c_custkey % 60) || '.yaml' AS file FROM customer),
+    j AS (SELECT who.*, r, p, w, r IS NOT NULL AND lower(namespace) NOT IN ('kube-system', 'monitoring') AS hit FROM who LEFT JOIN active USING (file))
+    SELECT uid, NOT ({deny}) AS allowed, CASE WHEN {deny} THEN 'admission denied: potential credential detected by rule ' || r || ' in field ' || p || ' (resource: Deployment/' || name || ')' END AS deny_message, CASE WHEN hit THEN w END AS warnings FROM j"""
+
+
+def decisions(spark: SparkSession, sf_dir: str, config: policy.PolicyConfig) -> DataFrame:
+    return policy.decide(requests(spark, sf_dir), config).select("uid", "allowed", "deny_message", F.array_join("warnings", "\n").alias("warnings"))
+
+
+register("admission_enforce", _decided("enforce", 3))(lambda s, d: decisions(s, d, policy.PolicyConfig()))
+register("admission_warn", _decided("warn", 2))(lambda s, d: decisions(s, d, policy.PolicyConfig("warn", "medium")))
+register("admission_critical", _decided("enforce", 4))(lambda s, d: decisions(s, d, policy.PolicyConfig("enforce", " Critical ")))
+
+
+def _body() -> Column:
+    pod = F.concat(F.lit('{"kind":"Pod","metadata":{"name":"'), "c_name", F.lit('"},"spec":{"containers":[{"env":[{"name":"DB_PASSWORD","value":"pw'), F.md5(F.col("c_custkey").cast("string")), F.lit('"}]}]}}'))
+    request = F.concat(F.lit('{"apiVersion":"admission.k8s.io/v1","kind":"AdmissionReview","request":{"uid":"'), F.col("c_custkey").cast("string"), F.lit('","kind":{"group":"","version":"v1","kind":"Pod"},"name":"'), "c_name", F.lit('","namespace":"'), F.expr(_NS), F.lit('"'))
+    return F.when(F.col("c_custkey") % 5 == 0, F.concat(request, F.lit("}}"))).when(F.col("c_custkey") % 5 == 1, F.lit('{"kind":"AdmissionReview"}')).when(F.col("c_custkey") % 5 == 2, F.lit("{oops")).otherwise(F.concat(request, F.lit(',"object":'), pod, F.lit("}}")))
+
+
+@register("admission_reviews", f"""SELECT c_custkey::VARCHAR AS uid, '{{"apiVersion":"admission.k8s.io/v1","kind":"AdmissionReview","response":{{"uid":"' || c_custkey || '","allowed":' || CASE WHEN c_custkey % 5 = 0 OR lower(ns) IN ('kube-system', 'monitoring') THEN 'true}}}}'
+  ELSE 'false,"status":{{"code":403,"message":"admission denied: potential credential detected by rule internal.sensitive-env-var in field spec.containers[0].env[0].value (resource: Pod/' || c_name || ')"}},"warnings":["potential credential detected by rule internal.sensitive-env-var in field spec.containers[0].env[0].value"]}}}}' END AS response
+  FROM (SELECT *, {_NS} AS ns FROM customer WHERE c_custkey % 5 NOT IN (1, 2))""")
+def admission_reviews(spark, sf_dir):
+    return policy.admit(table(spark, sf_dir, "customer").select(_body().alias("body")))[0]
+
+
+@register("admission_rejects", "SELECT CASE WHEN c_custkey % 5 = 1 THEN 'missing request envelope' ELSE 'invalid JSON' END AS reason, 400 AS status, count(*) AS n FROM customer WHERE c_custkey % 5 IN (1, 2) GROUP BY ALL")
+def admission_rejects(spark, sf_dir):
+    return policy.admit(table(spark, sf_dir, "customer").select(_body().alias("body")))[1].groupBy("reason", "status").agg(F.count("*").alias("n"))
+
+
+# ---- report validation
+
+_BAD = "s_suppkey % 7"
+
+
+def _reports() -> Column:
+    n = F.col("s_suppkey") % 7
+    version = F.when(n == 1, '"2.0"').when(n == 2, "1").otherwise('"1.0"')
+    total = F.concat(F.lit('{"files_scanned":'), F.when(n == 3, "true").otherwise("1"), F.lit(',"findings":'), F.when(n == 4, "2").otherwise("1"), F.lit(',"errors":0,"critical":'), F.when(n == 5, "0").otherwise("1"), F.lit(',"high":0,"medium":0,"low":0,"duration_ms":1,"scanner_version":"0.1.0"}'))
+    found = F.concat(F.lit('[{"rule_id":"r","description":"d","severity":"CRITICAL","confidence":"high","file":"'), "s_name", F.lit('","line":'), F.when(n == 6, "0").otherwise("1"), F.lit(',"column":1,"field_path":"p","match":"****"}]'))
+    return F.concat(F.lit('{"schema_version":'), version, F.lit(',"summary":'), total, F.lit(',"findings":'), found, F.lit(',"errors":[]'), F.when(F.col("s_suppkey") % 11 == 0, ',"more":1').otherwise(""), F.lit("}"))
+
+
+@register("report_validation", "SELECT s_suppkey, code IS NULL AS valid, code FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN 'V1' ELSE CASE s_suppkey % 7 WHEN 1 THEN 'V2' WHEN 2 THEN 'V2' WHEN 3 THEN 'V3' WHEN 4 THEN 'V6' WHEN 5 THEN 'V7' WHEN 6 THEN 'V4' END END AS code FROM supplier)")
+def report_validation(spark, sf_dir):
+    return validate.validate_reports(table(spark, sf_dir, "supplier").select("s_suppkey", _reports().alias("report"))).select("s_suppkey", "valid", "code")
+
+
+@register("report_keys", "SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN '+more' ELSE '' END AS keys FROM supplier")
+def report_keys(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(validate.key_violations(_reports()), ",").alias("keys"))
+
+
+# ---- manifests: YAML put together from columns; the SQL side knows what must come out without reading YAML
+
+
+def _lines(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _scan(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    scalars, failed = extract(from_documents(rows, "name", "yaml"))
+    return detect.findings(scalars), failed
+
+
+_WORD = "substr(md5(CAST(c_custkey AS STRING)), 1, 12)"
+
+
+@register("yaml_manifest_scan", f"""SELECT 'internal.sensitive-env-var' AS rule_id, 'repo\\' || c_custkey || '.yaml' AS raw, 10 AS line, 16 AS "column", 'spec.containers[0].env[0].value' AS field_path, 'app-' || c_custkey AS resource, 'Pod' AS kind, left(v, 4) || '*******' || right(v, 4) AS match FROM (SELECT *, 'pw!' || {_duck(_WORD)} AS v FROM customer)""".replace("'repo\\' || c_custkey || '.yaml' AS raw", "'repo/' || c_custkey || '.yaml' AS file"))
+def yaml_manifest_scan(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    text = _lines("apiVersion: v1\nkind: Pod\nmetadata:\n  name: app-", key, "\n  labels: {password: pw!notscanned}\nspec:\n  containers:\n  - env:\n    - name: DB_PASSWORD\n      value:   pw!", F.expr(_WORD), "\n    - {name: API_TOKEN, value: $(TOKEN)}\n    - name: HOST\n      value: localhost\n")
+    found, _ = _scan(spark, table(spark, sf_dir, "customer").select(_lines("repo\\", key, ".yaml").alias("name"), text.alias("yaml")))
+    return found.select("rule_id", "file", "line", "column", "field_path", "resource", "kind", "match")
+
+
+@register("secret_manifest_scan", """SELECT rule_id, 's' || s_suppkey AS file, line, field_path, 'AKIA************' || upper(substr(md5(s_suppkey::VARCHAR), 13, 4)) AS match FROM supplier, (VALUES ('internal.aws-access-key-id', 6, 'data.id'), ('internal.aws-access-key-id', 9, 'stringData.id')) t(rule_id, line, field_path) WHERE s_suppkey % 4 < 2
+  UNION ALL SELECT 'error', 's' || s_suppkey, NULL, 'failed to decode Secret.data.broken: invalid base64 encoding', NULL FROM supplier WHERE s_suppkey % 4 < 2
+  UNION ALL SELECT 'error', 's' || s_suppkey, NULL, 'invalid YAML syntax in document 2', NULL FROM supplier WHERE s_suppkey % 4 = 2""")
+def secret_manifest_scan(spark, sf_dir):
+    """Secrets with encoded, broken and plain entries; files whose second document breaks; lists at the root."""
+    key = F.col("s_suppkey").cast("string")
+    aws = F.concat(F.lit("AKI"), F.lit("A"), F.upper(F.substr(F.md5(key), F.lit(1), F.lit(16))))
+    secret = _lines("kind: secret\nmetadata:\n  annotations:\n    token: x\ndata:\n  id: ", F.base64(aws.cast("binary")), "\n  broken: '*'\nstringData:\n  id: ", aws, "\n")
+    broken = _lines("kind: Pod\n---\nkind: [Pod\n---\nkind: Secret\nstringData: {id: ", aws, "}\n")
+    n = F.col("s_suppkey") % 4
+    rows = table(spark, sf_dir, "supplier").select(_lines("s", key).alias("name"), F.when(n < 2, secret).when(n == 2, broken).otherwise(_lines("- id: ", aws, "\n")).alias("yaml"))
+    found, failed = _scan(spark, rows)
+    errors = failed.select(F.lit("error").alias("rule_id"), "file", F.lit(None).cast("int").alias("line"), F.regexp_replace("message", r"(document [0-9]+):.*", "$1").alias("field_path"), F.lit(None).cast("string").alias("match"))
+    return found.select("rule_id", "file", "line", "field_path", "match").unionByName(errors)
+
+
+@register("configmap_scan", """SELECT n_name AS file, 'internal.aws-access-key-id' AS rule_id, 'data.api_token' AS field_path, 4 AS line FROM nation
+  UNION ALL SELECT n_name, 'internal.aws-access-key-id', 'metadata.annotations[auth]', 3 FROM nation""")
+def configmap_scan(spark, sf_dir):
+    """Only sensitive keys of data and annotations; an alias gives its anchor's name."""
+    aws = F.concat(F.lit("AKI"), F.lit("A"), F.upper(F.substr(F.md5("n_name"), F.lit(1), F.lit(16))))
+    text = _lines("kind: ConfigMap\nmetadata:\n  annotations: {auth: ", aws, ", other: ", aws, "}\ndata: {api_token: &a ", aws, ", plain: ", aws, ", token2: *a}\nenvFrom: [{token: ", aws, "}]\n")
+    found, _ = _scan(spark, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), text.alias("yaml")))
+    return found.select("file", "rule_id", "field_path", "line")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
