@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Families of fingerprints over distinct words, bins of a sketch, and what an estimate may lack, two standard errors.
-FAMILIES, BINS, LACK = 4, 256, 0.05
+FAMILIES, BINS, LACK = 6, 256, 0.05
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
