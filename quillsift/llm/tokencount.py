@@ -128,4 +128,4 @@ def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     written = write_flat(docs, scratch_path(spark, "flat-files"))
     found = scan_separators(written)
-    return written.join(found, ["path", "ordinal"]).select(F.col("id").alias("doc_id"), "ordinal", "start", "n_tokens", F.regexp_extract("path", r"tokens-(\d+)", 1).cast("long").alias("file"))
+    return written.join(found.hint("merge"), ["path", "ordinal"]).select(F.col("id").alias("doc_id"), "ordinal", "start", "n_tokens", F.regexp_extract("path", r"tokens-(\d+)", 1).cast("long").alias("file"))
