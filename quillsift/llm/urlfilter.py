@@ -2,8 +2,8 @@
 
 Rules come first: a rule is a host and a path prefix and fits that host and its subdomains; the
 longest that fits decides. Other URLs go to the method: host labels and path segments are split at their
-separators, and concatenated names are segmented by Viterbi over a unigram model whose counts come from all URLs of the table and
-a seed lexicon; multinomial naive Bayes then scores the segmented tokens. It is trained on all URLs,
+separators, and concatenated names are segmented by Viterbi over a unigram model; a word counts once for each host that has
+it, two at least, so that a name of one host isn't a word, and a seed lexicon is added; multinomial naive Bayes then scores the segmented tokens. It is trained on all URLs,
 with the label that seed words give: a URL of whose host labels one, or a run of their words, is a seed word is
 unwanted. Add-one smoothing; a score over 0 (more likely unwanted) blocks.
 
@@ -104,11 +104,12 @@ def unwanted(found: list[str], seeds: frozenset[str]) -> bool:
 
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[str] = []
+        out: set[tuple[str, str]] = set()
         for host, path in zip(*(c.to_pylist() for c in batch.columns)):
             names, parts = raw_tokens(host, path)
-            out += names + [p for p in parts if p.isalpha()]
-        yield pa.RecordBatch.from_pydict({"word": pa.array(out, pa.string())})
+            out.update((w, host) for w in [*names, *(p for p in parts if p.isalpha())])
+        words, hosts = zip(*sorted(out)) if out else ((), ())
+        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "host": pa.array(hosts, pa.string())})
 
 
 def _seen(batches: Iterator[pa.RecordBatch], counts: dict[str, int], seeds: frozenset[str]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = split_url(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     sites = urls.select("host", "path")
-    top = sites.mapInArrow(_raw, "word string").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most_words)
+    by_host = sites.mapInArrow(_raw, "word string, host string").distinct()
+    top = by_host.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most_words)
     # seed and lexicon words count at least as the known words do on average
     counts = {r["word"]: r["n"] for r in top.collect()}
     floor = max(1, sum(counts.values()) // max(1, len(counts)))
