@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontam.OP4_SQL}
+    return {"op2_quality_rules": quality.OP2_SQL, "op4_decontamination": decontam.OP4_SQL, "op6_license_scans": license.OP6_SQL}

@@ -49,7 +49,8 @@ TEMPLATES = [
 ]
 #: A file is looked up if it has one of these; each mandatory phrase list has one of them.
 KEYS = ("license", "permission", "cc", "creative", "redistribution", "unencumbered", "fee")
-RARE, LEAST = 8, 0.8
+#: As many words as several notices in one file need.
+RARE, LEAST = 24, 0.8
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -103,19 +104,19 @@ def matches(words: Column, weight: dict[str, float], templates=TEMPLATES, rare:
     post = {w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]) for w, ps in postings.items()}
     index = F.array(*[F.struct(F.lit(w).alias("w"), post[w].alias("post")) for w in ranked])
 
+    words_of = lambda xs: F.array(*map(F.lit, xs))
+    notices = F.array(*[F.struct(F.lit(label).alias("label"), words_of(notice.split()).alias("words"), words_of(phrases).alias("phrases")) for label, notice, phrases in templates])
+
     def verified(c: Column) -> Column:
-        out = F.when(F.lit(False), F.struct(F.lit("").alias("label"), F.lit(0).alias("start"), F.lit(0.0).alias("score")))
-        for t, (label, notice, phrases) in enumerate(templates):
-            ws = notice.split()
-            right = sum((F.when(F.get(words, c.at + p) == w, 1).otherwise(0) for p, w in enumerate(ws)), F.lit(0))
+        def judged(t: Column) -> Column:
+            n = F.size(t.words)
+            right = F.size(F.array_compact(F.transform(t.words, lambda w, p: F.when(F.get(words, c.at + p) == w, 1))))
             start = F.greatest(c.at, F.lit(0))
-            span = F.concat(F.lit(" "), F.array_join(F.slice(words, start + 1, F.greatest(c.at + len(ws) - start, F.lit(0))), " "), F.lit(" "))
-            whole = F.lit(True)
-            for phrase in phrases:
-                whole = whole & span.contains(f" {phrase} ")
-            score = right / F.lit(float(len(ws)))
-            out = out.when((c.t == t) & (score >= least) & whole, F.struct(F.lit(label).alias("label"), start.alias("start"), score.alias("score")))
-        return out
+            span = F.concat(F.lit(" "), F.array_join(F.slice(words, start + 1, F.greatest(c.at + n - start, F.lit(0))), " "), F.lit(" "))
+            whole = F.forall(t.phrases, lambda x: span.contains(F.concat(F.lit(" "), x, F.lit(" "))))
+            return F.when((right >= least * n) & whole, F.struct(t.label.alias("label"), start.alias("start"), (right / n).alias("score")))
+
+        return let(F.get(notices, c.t), judged)
 
     def looked_up(own: Column) -> Column:
         at = F.array_compact(F.transform(words, lambda w, i: F.when(F.exists(own, lambda x: x.w == w), F.struct(w.alias("w"), i.alias("i")))))
@@ -149,3 +150,34 @@ def op6(spark, sf_dir: str) -> DataFrame:
         "doc_id", c("n_words").alias("n_words"), *[c(f"base.{x}").alias(x) for x in ("n_base", "first_word", "last_word")],
         F.array_join(c("base.labels"), ",").alias("base_labels"), F.array_join(c("labels"), ",").alias("labels"), c("score").alias("score"),
     )
+
+
+def _sql() -> str:
+    """Every template at every place of the files that have a key word."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    hits = []
+    for label, notice, phrases in TEMPLATES:
+        ws = notice.split()
+        right = " + ".join(f"(CASE WHEN s + {p} >= 1 AND w[greatest(s + {p}, 1)] = {text(x)} THEN 1 ELSE 0 END)" for p, x in enumerate(ws))
+        whole = " AND ".join(f"contains(' ' || array_to_string(w[greatest(s, 1) : s + {len(ws) - 1}], ' ') || ' ', {text(f' {x} ')})" for x in phrases)
+        hits.append(f"SELECT rid, {text(label)} AS label, ({right}) / {len(ws)}.0::DOUBLE AS score FROM (SELECT rid, w, unnest(range({2 - len(ws)}, len(w) + 1)) AS s FROM gated) WHERE ({right}) >= {LEAST} * {len(ws)} AND {whole}")
+    places = " UNION ALL ".join(f"SELECT rid, i, {text(label)} AS label FROM p WHERE array_to_string(w[i : i + {len(x.split()) - 1}], ' ') = {text(x)}" for x, label in PHRASES.items())
+    keys = " OR ".join(f"list_contains(w, {text(k)})" for k in KEYS)
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), gated AS (SELECT * FROM d WHERE {keys}
+), p AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM gated
+), places AS ({places}
+), b AS (SELECT rid, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM places GROUP BY rid
+), hits AS ({' UNION ALL '.join(hits)}
+), names AS (SELECT DISTINCT rid, label, base FROM (SELECT rid, label, true AS base FROM places UNION ALL SELECT rid, label, false FROM hits)
+), l AS (SELECT rid, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM names GROUP BY rid
+), best AS (SELECT rid, max(score) AS score FROM hits GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN best USING (rid)
+"""
+
+
+OP6_SQL = _sql()

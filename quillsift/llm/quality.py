@@ -168,3 +168,50 @@ def op2(spark, sf_dir: str) -> DataFrame:
     found = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     counts = [F.col(f"f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select(F.col("id").alias("doc_id"), *counts, base_failed(F.col("f")).alias("base_failed"), "kept")
+
+
+_SHARES = ", ".join(f"{{'rule': '{r}', 'part': {a}, 'whole': {b}}}" for r, (a, b) in RULES.items())
+_RATE = ALPHA / len(RULES)
+OP2_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS ls
+  FROM documents
+), g AS (
+  SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), twice AS (
+  SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1
+), rep AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid
+), f AS (
+  SELECT rid, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g'))::BIGINT AS n_capitals
+  FROM d LEFT JOIN rep USING (rid)
+), m AS (
+  SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
+), x AS (
+  SELECT rid, doc_id, stratum, unnest([{_SHARES}], recursive := true) FROM f
+), s AS (
+  SELECT rid, doc_id, stratum, rule, CASE WHEN whole > 0 THEN ({LEVELS} * part + whole - 1) // whole ELSE 0 END AS s FROM x
+), c AS (
+  SELECT stratum, rule, s, count(*) FILTER (q = 1) AS good, count(*) FILTER (q = 0) AS bad FROM s JOIN m USING (doc_id) GROUP BY ALL
+), lv AS (
+  SELECT stratum, rule, n, unnest(range(0, {LEVELS})) AS cut FROM (SELECT stratum, rule, sum(good) AS n FROM c GROUP BY ALL)
+), o AS (
+  SELECT stratum, rule, n, cut, sum(CASE WHEN s > cut THEN good ELSE 0 END) AS k, sum(CASE WHEN s > cut THEN bad ELSE 0 END) AS caught FROM lv JOIN c USING (stratum, rule) GROUP BY ALL
+), p AS (
+  SELECT *, CASE WHEN k > {_RATE} * n THEN 1 ELSE list_sum(list_transform(range(0, k::BIGINT + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RATE}) + (n - j) * ln(1 - {_RATE})))) END AS p FROM o
+), held AS (
+  SELECT *, caught - {COST} * k AS gain FROM p
+  QUALIFY max(p) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) <= {DELTA} / (greatest(1, (SELECT count(DISTINCT stratum) FROM c)) * {len(RULES)}) AND caught - {COST} * k > 0
+), best AS (
+  SELECT stratum, rule, cut FROM held QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cut DESC) = 1
+), bad AS (
+  SELECT DISTINCT rid FROM s JOIN best USING (stratum, rule) WHERE s > cut
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.rid IS NULL AS kept
+FROM f LEFT JOIN bad USING (rid)
+"""

@@ -231,3 +231,15 @@ def test_html_of_the_table(spark, sf):
         body = re.sub(r"(?s)<!--.*?-->|<(script|style|title|head)\b.*?</\1>|<[^>]*>", " ", pages[r.id])
         strip = lambda t: re.sub(r"[\s\-]+", "", __import__("html").unescape(t))
         assert strip(r.text) == strip(body)
+
+
+def test_quality_sql(spark, sf):
+    from conftest import compare
+
+    compare(spark, sf, quality.op2, quality.OP2_SQL)
+
+
+def test_licences_sql(spark, sf):
+    from conftest import compare
+
+    compare(spark, sf, license.op6, license.OP6_SQL)
