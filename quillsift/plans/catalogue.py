@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import RE2
-from ..functions.scalar import decode_secret, entropy, location, mask, sarif_level, sensitive_key, tokens
+from ..functions.scalar import decode_secret, entropy, location, mask, sensitive_key, tokens
 from ..operators import detect, policy, precedence, summarise, validate
 from ..operators.detect import Rule
 from ..sources.manifests import extract, from_documents
