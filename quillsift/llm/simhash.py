@@ -103,29 +103,33 @@ class Ball:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], half: int, block_bits: int) -> Iterator[pa.RecordBatch]:
-    """For each family and block, the fingerprints that have a variant in it."""
+    """For each family and block, the fingerprints that have a variant in it: ``prints`` those
+    without a label, ``labelled`` the others, each before its label."""
     ball, blocks = Ball(half, block_bits), np.arange(1 << block_bits, dtype=np.uint64)
     reached = np.zeros(1 << block_bits, bool)
     reached[ball.flip_class.astype(np.int64)] = True
     for batch in batches:
         families, all_prints = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+        has, labels = np.asarray(batch.column(2).is_valid()), np.asarray(batch.column(2).fill_null(0))
         for family in np.unique(families):
-            prints = all_prints[families == family]
-            own = ball.classes(prints)
-            order = np.argsort(own, kind="stable")
-            prints, own = prints[order], own[order]
-            groups, at = np.unique(own, return_index=True)
-            packs = [(g, prints[a:b].tobytes()) for g, a, b in zip(groups, at, [*at[1:], len(prints)])]
-            parts, names, size = [], [], 0
+            rows = np.flatnonzero(families == family)
+            own = ball.classes(all_prints[rows])
+            packs = []
+            for g in np.unique(own):
+                mine = rows[own == g]
+                bare, named = mine[~has[mine]], mine[has[mine]]
+                packs.append((g, all_prints[bare].tobytes(), np.stack([all_prints[named], labels[named].view(np.uint64)], axis=1).tobytes()))
+            parts, named_parts, names, size = [], [], [], 0
             for block in blocks:
-                sent = b"".join(raw for g, raw in packs if reached[int(block ^ g)])
-                if sent:
-                    parts.append(sent)
+                near = [p for p in packs if reached[int(block ^ p[0])]]
+                if near:
+                    parts.append(b"".join(p[1] for p in near))
+                    named_parts.append(b"".join(p[2] for p in near))
                     names.append(int(block))
-                    size += len(sent)
+                    size += len(parts[-1]) + len(named_parts[-1])
                 if names and (size > 8 << 20 or block == blocks[-1]):
-                    yield pa.RecordBatch.from_pydict({"family": pa.array([int(family)] * len(names), pa.int64()), "block": pa.array(names, pa.int64()), "prints": pa.array(parts, pa.binary())})
-                    parts, names, size = [], [], 0
+                    yield pa.RecordBatch.from_pydict({"family": pa.array([int(family)] * len(names), pa.int64()), "block": pa.array(names, pa.int64()), "prints": pa.array(parts, pa.binary()), "labelled": pa.array(named_parts, pa.binary())})
+                    parts, named_parts, names, size = [], [], [], 0
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -144,9 +148,9 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _links(prints: np.ndarray, block: int, half: int, block_bits: int, slice_rows: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The spanning forest of a block: nodes that aren't roots, and their roots; without
-    ``spanning``, each pair that comes next to each other at a variant, once."""
+def _links(prints: np.ndarray, block: int, half: int, block_bits: int, slice_rows: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of a block: nodes that aren't roots, and their roots. With labels, each pair of different
+    labels that come next to each other at a variant, once."""
     n = len(prints)
     per_block = max(1, n * (1 + 64 + (half > 1) * 2016) >> block_bits)
     slice_bits = max(0, (per_block // slice_rows).bit_length())
@@ -171,16 +175,18 @@ def _links(prints: np.ndarray, block: int, half: int, block_bits: int, slice_row
         if not made:
             continue
         made, of = np.concatenate(made), np.concatenate(of)
-        order = np.argsort(made)
+        order = np.argsort(made) if label is None else np.lexsort((label[of], made))
         made, of = made[order], of[order]
         met = np.flatnonzero(made[1:] == made[:-1])
+        if label is not None:
+            met = met[label[of[met]] != label[of[met + 1]]]
         a, b = of[met], of[met + 1]
         good = np.bitwise_count(prints[a] ^ prints[b]) <= 2 * half
         pairs = np.unique(np.minimum(a, b)[good] * n + np.maximum(a, b)[good])
         ea.append(pairs // n)
         eb.append(pairs % n)
     ea, eb = np.concatenate(ea), np.concatenate(eb)
-    if not spanning:
+    if label is not None:
         pairs = np.unique(ea * n + eb)
         return prints[pairs // n], prints[pairs % n]
     root = forest(ea, eb, n)
@@ -190,25 +196,30 @@ def _links(prints: np.ndarray, block: int, half: int, block_bits: int, slice_row
 
 def _match(table: pa.Table, half: int, block_bits: int, slice_rows: int, spanning: bool) -> pa.Table:
     block, family = table.column("block")[0].as_py(), table.column("family")[0].as_py()
-    prints = np.unique(np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64))
-    # nodes are told apart by their rank as signed longs, as Spark orders them
-    prints = np.sort(prints.view(np.int64)).view(np.uint64)
-    a, b = _links(prints, block, half, block_bits, slice_rows, spanning)
+    bare = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.int64)
+    named = np.frombuffer(b"".join(table.column("labelled").to_pylist()), np.int64).reshape(-1, 2)
+    # nodes are told apart by their rank as signed longs, as Spark orders them; one without a label is its own
+    prints, first = np.unique(np.concatenate([bare, named[:, 0]]), return_index=True)
+    label = None if spanning else np.concatenate([bare, named[:, 1]])[first]
+    a, b = _links(prints.view(np.uint64), block, half, block_bits, slice_rows, label)
     return pa.table({"family": pa.array([family] * len(a), pa.int64()), "a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def meetings(prints: DataFrame, radius: int = 4, slice_rows: int = SLICE, spanning: bool = True) -> DataFrame:
+def meetings(prints: DataFrame, radius: int = 4, slice_rows: int = SLICE, spanning: bool = True, blocks: int = BLOCKS) -> DataFrame:
     """``family, a, b``: links between the distinct fingerprints ``fp`` of each ``family`` that are ``radius`` bits or
-    fewer apart. With ``spanning`` they connect what is linked; without, a pair comes for each variant at which
-    its two come next to each other, so that a group of k gives at most 2,081 k pairs."""
+    fewer apart. With ``spanning`` they connect what is linked. Without, only fingerprints of different ``label`` (a
+    long; null: one of its own) are paired: those that come next to each other at a variant when its fingerprints are
+    sorted by label. ``blocks``: a power of two; more are taken beyond ``MOST`` fingerprints."""
     if radius not in (2, 4):
         raise ValueError("radius must be 2 or 4")
     half = radius // 2
-    prints = write_table(prints.select(F.col("family").cast("long"), "fp").distinct(), "prints")
+    label = F.min("label") if "label" in prints.columns else F.lit(None)
+    prints = write_table(prints.groupBy(F.col("family").cast("long").alias("family"), "fp").agg(label.cast("long").alias("label")), "prints")
     most = prints.groupBy("family").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = BLOCKS if most <= MOST else -(-2081 * most // MOST)
+    if most > MOST:
+        blocks = -(-2081 * most // MOST)
     bits = (blocks - 1).bit_length()
-    dealt = prints.mapInArrow(lambda it: _deal(it, half, bits), "family long, block long, prints binary")
+    dealt = prints.mapInArrow(lambda it: _deal(it, half, bits), "family long, block long, prints binary, labelled binary")
     return dealt.groupBy("family", "block").applyInArrow(lambda t: _match(t, half, bits, slice_rows, spanning), "family long, a long, b long")
 
 
@@ -249,6 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Families of fingerprints over distinct words, bins of a sketch, and what an estimate may lack, two standard errors.
 FAMILIES, BINS, LACK = 6, 256, 0.05
+#: Blocks of each family.
+STAGE_BLOCKS = 16
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -323,21 +336,33 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Near copies differ in a few words, which changes many shingles and so many bits of a
     fingerprint over shingles; over distinct words it changes few. Texts that meet within 4 bits
-    in one of several families of such fingerprints are candidates, and a sketch of their word shingles verifies each.
+    in one of several families of such fingerprints are candidates, and a sketch of their word shingles verifies each
+    pair. First each text is held against the roots of the forests that its fingerprints stand in, which settles large groups
+    with a few pairs a text; then fingerprints of different classes that meet are paired.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = source.mapInArrow(lambda it: _described(it, shingle), "id long, key string, fps array<long>, sketch binary")
     texts = write_table(rows.groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("fps", "sketch")).alias("x")).select("key", "low", "x.*"), "texts")
     prints = texts.select("key", F.posexplode("fps").alias("family", "fp"))
     first = write_table(prints.groupBy("family", "fp").agg(F.min("key").alias("key")), "first")
-    met = meetings(first.select("family", "fp"), spanning=False)
     at = lambda c: first.select("family", F.col("fp").alias(c), F.col("key").alias(f"key_{c}"))
-    across = met.distinct().join(at("a"), ["family", "a"]).join(at("b"), ["family", "b"]).select("key_a", "key_b")
-    equal = prints.join(first.withColumnRenamed("key", "key_b"), ["family", "fp"]).select(F.col("key").alias("key_a"), "key_b").where("key_a <> key_b")
-    pairs = across.unionByName(equal).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).where("a <> b").distinct()
     of = lambda c: texts.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(lambda it: _verified(it, similarity - LACK), "a string, b string")
+
+    def verified(met: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        keys = met.distinct().join(at("a"), ["family", "a"]).join(at("b"), ["family", "b"]).select("key_a", "key_b")
+        keys = keys if more is None else keys.unionByName(more)
+        pairs = keys.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).where("a <> b").distinct()
+        sketched = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+        return write_table(sketched.mapInArrow(lambda it: _verified(it, similarity - LACK), "a string, b string"), "links")
+
+    equal = prints.join(first.withColumnRenamed("key", "key_b"), ["family", "fp"]).select(F.col("key").alias("key_a"), "key_b").where("key_a <> key_b")
+    links = verified(meetings(first.select("family", "fp"), blocks=STAGE_BLOCKS), equal)
     roots = components(links)
+    known = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    labelled = first.join(known, first.key == known.node, "left").select("family", "fp", F.xxhash64("root").alias("h"), "root")
+    labelled = labelled.select("family", "fp", F.when(F.col("root").isNotNull(), F.col("h")).alias("label"))
+    again = verified(meetings(labelled, spanning=False, blocks=STAGE_BLOCKS))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(again))
     return write_table(texts.join(roots, texts.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"), "low"), "classes")
 
 

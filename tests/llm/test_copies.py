@@ -87,11 +87,21 @@ def test_links_are_exact(spark, slice_rows):
     df = spark.createDataFrame([(0, s) for s in signed], "family long, fp long").repartition(3)
     roots = {r.node: r.root for r in simhash.components(simhash.meetings(df, slice_rows=slice_rows)).collect()}
     assert [roots.get(s, s) for s in signed] == classes(signed, prints)
-    pairs = {(r.a, r.b) for r in simhash.meetings(df, spanning=False).collect()}
     far = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    pairs = {(r.a, r.b) for r in simhash.meetings(df, slice_rows=slice_rows, spanning=False).collect()}
     assert all(far(a, b) <= 4 for a, b in pairs) and len(pairs) <= 2081 * len(prints)
-    roots = {r.node: r.root for r in simhash.components(simhash.meetings(df, spanning=False).select("a", "b")).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.meetings(df, spanning=False, blocks=4).select("a", "b")).collect()}
     assert [roots.get(s, s) for s in signed] == classes(signed, prints)
+    # labels: no pair within one, and every class of labels that meets another is paired with some
+    label = {s: s % 3 if s % 2 else None for s in signed}
+    own = lambda s: label[s] if label[s] is not None else s
+    named = spark.createDataFrame([(0, s, label[s]) for s in signed], "family long, fp long, label long")
+    pairs = [(r.a, r.b) for r in simhash.meetings(named, slice_rows=slice_rows, spanning=False).collect()]
+    assert pairs and all(far(a, b) <= 4 and own(a) != own(b) for a, b in pairs)
+    by_label = [(own(a), own(b)) for a, b in pairs]
+    want = [(own(a), own(b)) for a in signed for b in signed if a < b and far(a, b) <= 4 and own(a) != own(b)]
+    roots = [{r.node: r.root for r in simhash.components(spark.createDataFrame(x, "a long, b long")).collect()} for x in (by_label, want)]
+    assert roots[0] == roots[1]
 
 
 def test_components(spark):
