@@ -356,7 +356,9 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return write_table(sketched.mapInArrow(lambda it: _verified(it, similarity - LACK), "a string, b string"), "links")
 
     equal = prints.join(first.withColumnRenamed("key", "key_b"), ["family", "fp"]).select(F.col("key").alias("key_a"), "key_b").where("key_a <> key_b")
-    links = verified(meetings(first.select("family", "fp"), blocks=STAGE_BLOCKS), equal)
+    # one root for each fingerprint, the least of its blocks; what that leaves apart meets in the second round
+    rooted = meetings(first.select("family", "fp"), blocks=STAGE_BLOCKS).groupBy("family", "a").agg(F.min("b").alias("b"))
+    links = verified(rooted, equal)
     roots = components(links)
     known = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     labelled = first.join(known, first.key == known.node, "left").select("family", "fp", F.xxhash64("root").alias("h"), "root")
