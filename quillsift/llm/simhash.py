@@ -18,12 +18,13 @@ stay; ties in bit counts give 0; texts of any length are read in slices; an empt
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import write_table
@@ -258,31 +259,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-#: Families of fingerprints over distinct words, bins of a sketch, and what an estimate may lack, two standard errors.
-FAMILIES, BINS, LACK = 6, 256, 0.05
-#: Blocks of each family.
-STAGE_BLOCKS = 16
+#: Bins of a sketch; bits of a shingle's bin when frequencies are counted, the most bins kept, and a shingle without words.
+BINS, HOT_BITS, MOST_HOT, NO_WORDS = 256, 18, 100_000, 1
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another hash from a hash, for family ``k``."""
-    h = h + np.uint64((k * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Another hash from a hash."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def word_prints(words: list[bytes], families: int = FAMILIES) -> list[int]:
-    """Fingerprints over a text's distinct words, as signed longs."""
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The hashes of a text's distinct word shingles, in order; a text of fewer words is one shingle."""
     import xxhash
 
-    base = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-    out = [0] * families
-    if len(base):
-        for k in range(families):
-            bits = 2 * _bit_counts(_mixed(base, k)) > len(base)
-            out[k] = int(np.packbits(bits, bitorder="little").view(np.int64)[0])
-    return out
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.array([NO_WORDS], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    base = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    width = min(size, len(words))
+    n, out = len(words) - width + 1, np.full(len(words) - width + 1, width, np.uint64)
+    for k in range(width):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + base[k : k + n])
+    return np.unique(out)
 
 
 def sketch(words: list[bytes], shingle: int = 5) -> bytes:
@@ -310,20 +311,55 @@ def resemblance(a: bytes, b: bytes) -> float:
     return np.count_nonzero((x == y) & (x != 0xFFFF)) / either if either else 1.0
 
 
-def _described(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The bins of shingles that are far more frequent than the mean, with their counts."""
+    total = np.zeros(1 << HOT_BITS, np.int64)
+    for batch in batches:
+        for t in batch.column(0):
+            np.add.at(total, (shingles(t.as_py(), size) >> np.uint64(64 - HOT_BITS)).astype(np.int64), 1)
+    bins = np.flatnonzero(total >= max(4, 4 * total.mean()))
+    yield pa.RecordBatch.from_pydict({"bin": pa.array(bins, pa.int64()), "n": pa.array(total[bins], pa.int64())})
+
+
+def prefix(hashes: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the common order (rank of the bin, hash). Two sets that are ``similarity`` alike share one of
+    their prefixes, whatever the ranks are."""
+    least = math.ceil(similarity * len(hashes) - 1e-9)
+    order = np.lexsort((hashes, rank[(hashes >> np.uint64(64 - HOT_BITS)).astype(np.int64)]))
+    return hashes[order[: len(hashes) - least + 1]]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], size: int, rank: bytes, similarity: float) -> Iterator[pa.RecordBatch]:
+    ranks = np.frombuffer(rank, np.uint8)
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
-            part, prints, sketches = batch.slice(k, 500), [], []
-            for t in part.column(2):
-                words = (t.as_py() or "").encode().lower().split()
-                prints.append(word_prints(words))
-                sketches.append(sketch(words, shingle))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "key", "fps", "sketch"])
+            part = batch.slice(k, 500)
+            sets = [shingles(t.as_py(), size) for t in part.column(1)]
+            tops = [prefix(h, ranks, similarity) for h in sets]
+            of = np.repeat(np.arange(len(sets)), list(map(len, tops)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(tops).view(np.int64)), part.column(0).take(pa.array(of)),
+                pa.array(np.array(list(map(len, sets)), np.int32)[of]), pa.array(np.concatenate([np.arange(len(t), dtype=np.int32) for t in tops])),
+            ], names=["token", "node", "n", "at"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two sets of hashes."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [resemblance(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        good = [jaccard(x.as_py(), y.as_py()) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3))]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
@@ -334,38 +370,66 @@ def _key(text_col: str):
 def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``key, root, low`` of each distinct text (null counts as empty): the class that it belongs to and its least identifier.
 
-    Near copies differ in a few words, which changes many shingles and so many bits of a
-    fingerprint over shingles; over distinct words it changes few. Texts that meet within 4 bits
-    in one of several families of such fingerprints are candidates, and a sketch of their word shingles verifies each
-    pair. First each text is held against the roots of the forests that its fingerprints stand in, which settles large groups
-    with a few pairs a text; then fingerprints of different classes that meet are paired.
+    Texts link if the Jaccard similarity of their whole sets of word shingles is ``similarity`` or more; classes are what links connect.
+    Candidates come from an exact prefix filter: two such texts share a token among the first of both, in an order of all
+    shingles that has frequent ones last (an estimate, which only decides the effort), and at their first common one sizes and places leave room
+    for the overlap. First each text of a token is held against one text, then against one of another class, which settles large
+    groups with a few pairs a text; then all pairs that share a token and are still in different classes are verified.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = source.mapInArrow(lambda it: _described(it, shingle), "id long, key string, fps array<long>, sketch binary")
-    texts = write_table(rows.groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("fps", "sketch")).alias("x")).select("key", "low", "x.*"), "texts")
-    prints = texts.select("key", F.posexplode("fps").alias("family", "fp"))
-    first = write_table(prints.groupBy("family", "fp").agg(F.min("key").alias("key")), "first")
-    at = lambda c: first.select("family", F.col("fp").alias(c), F.col("key").alias(f"key_{c}"))
-    of = lambda c: texts.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-
-    def verified(met: DataFrame, more: DataFrame | None = None) -> DataFrame:
-        keys = met.distinct().join(at("a"), ["family", "a"]).join(at("b"), ["family", "b"]).select("key_a", "key_b")
-        keys = keys if more is None else keys.unionByName(more)
-        pairs = keys.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).where("a <> b").distinct()
-        sketched = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b")
-        return write_table(sketched.mapInArrow(lambda it: _verified(it, similarity - LACK), "a string, b string"), "links")
-
-    equal = prints.join(first.withColumnRenamed("key", "key_b"), ["family", "fp"]).select(F.col("key").alias("key_a"), "key_b").where("key_a <> key_b")
-    # one root for each fingerprint, the least of its blocks; what that leaves apart meets in the second round
-    rooted = meetings(first.select("family", "fp"), blocks=STAGE_BLOCKS).groupBy("family", "a").agg(F.min("b").alias("b"))
-    links = verified(rooted, equal)
-    roots = components(links)
-    known = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    labelled = first.join(known, first.key == known.node, "left").select("family", "fp", F.xxhash64("root").alias("h"), "root")
-    labelled = labelled.select("family", "fp", F.when(F.col("root").isNotNull(), F.col("h")).alias("label"))
-    again = verified(meetings(labelled, spanning=False, blocks=STAGE_BLOCKS))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(again))
-    return write_table(texts.join(roots, texts.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root"), "low"), "classes")
+    node = lambda c: F.unhex(F.substring(c, 1, 32))
+    source = docs.select(node(_key(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
+    texts = write_table(docs.groupBy(_key(text_col).alias("key")).agg(F.min(F.col(id_col).cast("long")).alias("low")), "texts")
+    frequent = source.select("text").mapInArrow(lambda it: _frequent(it, shingle), "bin long, n long")
+    rank = np.zeros(1 << HOT_BITS, np.uint8)
+    for r in frequent.groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bin").limit(MOST_HOT).collect():
+        rank[r["bin"]] = r["n"].bit_length()
+    ranks = rank.tobytes()
+    tokens = source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node binary, n int, at int")
+    of_token = Window.partitionBy("token")
+    shared = tokens.withColumn("first", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token)).where("first <> last")
+    shared = write_table(shared.select("token", "node", "n", "at").distinct(), "tokens")
+    sets = source.join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "node binary, shingles binary")
+    sets = write_table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}"))
+
+    def may_link(x, y):
+        """What two texts with a common token need, if it's their first: sizes near enough and enough shingles from there on."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        left = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (left >= similarity / (1 + similarity) * (n + m) - 1e-6)
+
+    def verified(met: DataFrame) -> DataFrame:
+        pairs = met.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "shingles_a", "shingles_b")
+        return write_table(pairs.mapInArrow(lambda it: _verified(it, similarity), "a binary, b binary"), "links")
+
+    def against(rows: DataFrame) -> DataFrame:
+        """Each text of a token with the least one of the token, or of its last class."""
+        one = F.struct("class", "node", "n", "at")
+        rows = rows.withColumn("least", F.min(one).over(of_token)).withColumn("most", F.max(one).over(of_token))
+        other = F.when(F.col("class") != F.col("least.class"), F.col("least")).when(F.col("class") != F.col("most.class"), F.col("most"))
+        pairs = rows.select(F.struct("node", "n", "at").alias("x"), other.alias("y")).where("y IS NOT NULL")
+        return pairs.where(may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    def classed(roots: DataFrame) -> DataFrame:
+        named = shared.join(roots.select("node", "root"), "node", "left")
+        return write_table(named.select("token", F.coalesce("root", "node").alias("class"), "node", "n", "at"), "classed")
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+    roots = components(verified(against(shared.withColumn("class", F.col("node")))))
+    roots = joined(roots, verified(against(classed(roots))))
+    rows = classed(roots)
+    # the largest class of a token is held against the others only, so that its own pairs aren't made
+    sizes = rows.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("x"))
+    open_rows = rows.join(sizes.where("classes > 1").select("token", F.col("x.class").alias("major")), "token")
+    x, y = open_rows.where("class <> major").alias("x"), open_rows.alias("y")
+    once = (F.col("y.class") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & may_link("x", "y")
+    left = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    roots = joined(roots, verified(left))
+    nodes = texts.withColumn("node", node("key")).join(roots, "node", "left")
+    return write_table(nodes.select("key", F.coalesce("root", "node").alias("root"), "low"), "classes")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

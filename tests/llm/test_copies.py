@@ -159,6 +159,42 @@ def test_deduplicate(spark):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
+def linked(spark, texts):
+    """Classes of texts by the stage, as sets of numbers."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    of_key = {r.key: r.root for r in simhash.copy_classes(df).collect()}
+    out = {}
+    for i, t in enumerate(texts):
+        out.setdefault(of_key[__import__("hashlib").sha256(t.encode()).hexdigest()], set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
+def true_classes(texts, least=0.8):
+    """Classes by all pairs of whole shingle sets."""
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    return sorted(sorted(i for i in range(len(texts)) if root[i] == r) for r in set(root))
+
+
+def test_copies_among_the_same_words(spark):
+    """Texts of the same words in another order are no copies, and hide none."""
+    rng = random.Random(5)
+    shared = words(rng, 150)
+    texts = [" ".join(rng.sample(shared, 150)) for _ in range(300)]
+    for k in range(30):
+        near = texts[k].split()
+        near[70] = "changed"
+        texts.append(" ".join(near))
+    got = linked(spark, texts)
+    assert got == true_classes(texts) and sum(len(c) == 2 for c in got) == 30
+
+
 def test_pipeline(spark, sf):
     """Stage by stage: columns, what goes and what stays."""
     from quillsift.llm import decontam, packing, quality
