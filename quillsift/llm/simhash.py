@@ -339,27 +339,24 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, rank: bytes, similar
             of = np.repeat(np.arange(len(sets)), list(map(len, tops)))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(tops).view(np.int64)), part.column(0).take(pa.array(of)),
-                pa.array(np.array(list(map(len, sets)), np.int32)[of]), pa.array(np.concatenate([np.arange(len(t), dtype=np.int32) for t in tops])),
-            ], names=["token", "node", "n", "at"])
+                pa.array(np.array(list(map(len, sets)), np.int32)[of]),
+            ], names=["token", "node", "n"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
-
-
-def jaccard(a: bytes, b: bytes) -> float:
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """The Jaccard similarity of two sets of hashes."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [jaccard(x.as_py(), y.as_py()) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3))]
+        good, last, known = [], None, None
+        for x, y in zip(batch.column(2), batch.column(3)):
+            y = y.as_py()
+            if y != last:  # pairs of a text often stand together
+                last, known = y, shingles(y, size)
+            good.append(jaccard(shingles(x.as_py(), size), known) >= least - 1e-9)
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
@@ -372,63 +369,70 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts link if the Jaccard similarity of their whole sets of word shingles is ``similarity`` or more; classes are what links connect.
     Candidates come from an exact prefix filter: two such texts share a token among the first of both, in an order of all
-    shingles that has frequent ones last (an estimate, which only decides the effort), and at their first common one sizes and places leave room
-    for the overlap. First each text of a token is held against one text, then against one of another class, which settles large
+    shingles that has frequent ones last (an estimate, which only decides the effort); their sizes and the number of tokens that both prefixes
+    have must leave room for the overlap. First each text of a token is held against one text, then against one of another class, which settles large
     groups with a few pairs a text; then all pairs that share a token and are still in different classes are verified.
     """
     node = lambda c: F.unhex(F.substring(c, 1, 32))
-    source = docs.select(node(_key(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    texts = write_table(docs.groupBy(_key(text_col).alias("key")).agg(F.min(F.col(id_col).cast("long")).alias("low")), "texts")
+    own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(_key(text_col).alias("key"), F.col(id_col).cast("long").alias("id"), own.alias("text"))
+    texts = write_table(texts.groupBy("key").agg(F.min("id").alias("low"), F.first("text").alias("text")).withColumn("node", node("key")), "texts")
+    source = texts.select("node", "text")
     frequent = source.select("text").mapInArrow(lambda it: _frequent(it, shingle), "bin long, n long")
     rank = np.zeros(1 << HOT_BITS, np.uint8)
     for r in frequent.groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bin").limit(MOST_HOT).collect():
         rank[r["bin"]] = r["n"].bit_length()
     ranks = rank.tobytes()
-    tokens = source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node binary, n int, at int")
+    tokens = source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node binary, n int")
     of_token = Window.partitionBy("token")
     shared = tokens.withColumn("first", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token)).where("first <> last")
-    shared = write_table(shared.select("token", "node", "n", "at").distinct(), "tokens")
-    sets = source.join(shared.select("node").distinct(), "node", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "node binary, shingles binary")
-    sets = write_table(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}"))
+    shared = write_table(shared.select("token", "node", "n"), "tokens")
 
-    def may_link(x, y):
-        """What two texts with a common token need, if it's their first: sizes near enough and enough shingles from there on."""
+    def verified(x: str, y: str, met: DataFrame) -> DataFrame:
+        """The pairs that link, of those with a row for each token that both have. The prefix that ends first in the order
+        shares no more than these tokens, and what is behind it is ``n`` less its length, least(n) - 1."""
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        left = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
-        return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (left >= similarity / (1 + similarity) * (n + m) - 1e-6)
-
-    def verified(met: DataFrame) -> DataFrame:
-        pairs = met.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "shingles_a", "shingles_b")
-        return write_table(pairs.mapInArrow(lambda it: _verified(it, similarity), "a binary, b binary"), "links")
+        behind = F.ceil(similarity * F.greatest(n, m) - 1e-9) - 1
+        room = F.count("*") + F.max(behind) >= F.max(similarity / (1 + similarity) * (n + m)) - 1e-6
+        near = met.where(F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6)
+        pairs = near.groupBy(F.col(f"{x}.node").alias("a"), F.col(f"{y}.node").alias("b")).agg(room.alias("room")).where("room").select("a", "b")
+        pairs = write_table(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        some = write_table(source.join(ends, "node", "left_semi"), "ends")
+        of = lambda c: some.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+        return write_table(both.mapInArrow(lambda it: _verified(it, shingle, similarity), "a binary, b binary"), "links")
 
     def against(rows: DataFrame) -> DataFrame:
-        """Each text of a token with the least one of the token, or of its last class."""
-        one = F.struct("class", "node", "n", "at")
+        """Links of each text of a token with the least one of the token, or of its last class."""
+        one = F.struct("class", "node", "n")
         rows = rows.withColumn("least", F.min(one).over(of_token)).withColumn("most", F.max(one).over(of_token))
         other = F.when(F.col("class") != F.col("least.class"), F.col("least")).when(F.col("class") != F.col("most.class"), F.col("most"))
-        pairs = rows.select(F.struct("node", "n", "at").alias("x"), other.alias("y")).where("y IS NOT NULL")
-        return pairs.where(may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        return verified("x", "y", rows.select(F.struct("node", "n").alias("x"), other.alias("y")).where("y IS NOT NULL"))
 
     def classed(roots: DataFrame) -> DataFrame:
         named = shared.join(roots.select("node", "root"), "node", "left")
-        return write_table(named.select("token", F.coalesce("root", "node").alias("class"), "node", "n", "at"), "classed")
+        return write_table(named.select("token", F.coalesce("root", "node").alias("class"), "node", "n"), "classed")
 
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
         return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
-    roots = components(verified(against(shared.withColumn("class", F.col("node")))))
-    roots = joined(roots, verified(against(classed(roots))))
+    roots = components(against(shared.withColumn("class", F.col("node"))))
+    roots = joined(roots, against(classed(roots)))
     rows = classed(roots)
     # the largest class of a token is held against the others only, so that its own pairs aren't made
     sizes = rows.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("x"))
     open_rows = rows.join(sizes.where("classes > 1").select("token", F.col("x.class").alias("major")), "token")
     x, y = open_rows.where("class <> major").alias("x"), open_rows.alias("y")
     once = (F.col("y.class") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & may_link("x", "y")
-    left = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    roots = joined(roots, verified(left))
-    nodes = texts.withColumn("node", node("key")).join(roots, "node", "left")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once
+    n, m = F.col("x.n"), F.col("y.n")
+    near = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+    # a pair of two lesser classes at one token may have the largest at another: the smaller node is x
+    turned = F.col("x.node") > F.col("y.node")
+    met = x.join(y, apart & near).select(F.when(turned, F.struct("y.node", "y.n")).otherwise(F.struct("x.node", "x.n")).alias("x"), F.when(turned, F.struct("x.node", "x.n")).otherwise(F.struct("y.node", "y.n")).alias("y"))
+    roots = joined(roots, verified("x", "y", met))
+    nodes = texts.select("key", "low", "node").join(roots, "node", "left")
     return write_table(nodes.select("key", F.coalesce("root", "node").alias("root"), "low"), "classes")
 
 
