@@ -2,7 +2,7 @@
 
 Templates are short licence notices. The index maps each of their words to its postings
 (template, position). A word's weight is its inverse document frequency over the whole corpus. Of each
-file, the ``rare`` licence words with the highest weight are looked up; a posting and a place in the file
+template, as many of the places with the highest weight are looked up as can't all be wrong in a match; such a posting and a place in the file
 give a template and the place where it would start, and the starts that postings agree on are verified: the share of the template's
 words that stand at their relative positions must reach ``least``, and each mandatory phrase must stand in the span.
 Base labels come from fixed phrases, found at all places.
@@ -49,8 +49,7 @@ TEMPLATES = [
 ]
 #: A file is looked up if it has one of these; each mandatory phrase list has one of them.
 KEYS = ("license", "permission", "cc", "creative", "redistribution", "unencumbered", "fee")
-#: As many words as several notices in one file need.
-RARE, LEAST = 24, 0.8
+LEAST = 0.8
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -94,15 +93,18 @@ def _labelled(found: Column, label: str) -> Column:
     return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
-def matches(words: Column, weight: dict[str, float], templates=TEMPLATES, rare: int = RARE, least: float = LEAST) -> Column:
+def matches(words: Column, weight: dict[str, float], templates=TEMPLATES, least: float = LEAST) -> Column:
     """Array of structs ``label, start, score`` of the templates that stand in a file."""
     ranked = sorted(weight, key=lambda w: (-weight[w], w))
     postings: dict[str, list] = {}
     for t, (_, notice, _) in enumerate(templates):
-        for p, w in enumerate(notice.split()):
-            postings.setdefault(w, []).append((t, p))
+        # of its rarest places a match has one right at least, whatever else stands in the file
+        ws = notice.split()
+        places = sorted(range(len(ws)), key=lambda p: (ranked.index(ws[p]), p))
+        for p in places[: len(ws) - math.ceil(least * len(ws) - 1e-9) + 1]:
+            postings.setdefault(ws[p], []).append((t, p))
     post = {w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]) for w, ps in postings.items()}
-    index = F.array(*[F.struct(F.lit(w).alias("w"), post[w].alias("post")) for w in ranked])
+    index = F.array(*[F.struct(F.lit(w).alias("w"), post[w].alias("post")) for w in ranked if w in post])
 
     words_of = lambda xs: F.array(*map(F.lit, xs))
     notices = F.array(*[F.struct(F.lit(label).alias("label"), words_of(notice.split()).alias("words"), words_of(phrases).alias("phrases")) for label, notice, phrases in templates])
@@ -123,7 +125,7 @@ def matches(words: Column, weight: dict[str, float], templates=TEMPLATES, rare:
         starts = F.flatten(F.transform(at, lambda x: F.flatten(F.transform(F.filter(own, lambda o: o.w == x.w), lambda o: F.transform(o.post, lambda q: F.struct(q.t.alias("t"), (x.i - q.p).alias("at")))))))
         return F.array_distinct(F.array_compact(F.transform(F.array_distinct(starts), verified)))
 
-    found = let(F.slice(F.filter(index, lambda x: F.array_contains(words, x.w)), 1, rare), looked_up)
+    found = let(F.filter(index, lambda x: F.array_contains(words, x.w)), looked_up)
     gate = F.arrays_overlap(words, F.array(*map(F.lit, KEYS)))
     return F.when(gate, found).otherwise(_empty("struct<label: string, start: int, score: double>"))
 

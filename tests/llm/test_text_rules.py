@@ -243,3 +243,16 @@ def test_licences_sql(spark, sf):
     from conftest import compare
 
     compare(spark, sf, license.op6, license.OP6_SQL)
+
+
+def test_licences_all_in_one_file(spark, tmp_path):
+    """All notices, and other texts for the frequencies, against the SQL."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from conftest import compare
+
+    notices = [n for _, n, _ in license.TEMPLATES]
+    texts = [" . x ".join(notices), " . y ".join(reversed(notices)), *(n for n in notices[1:] for _ in range(3)), *["the of and to in this"] * 20]
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), tmp_path / "documents.parquet")
+    made = compare(spark, str(tmp_path), license.op6, license.OP6_SQL)
+    assert any({label for label, _, _ in license.TEMPLATES} <= set(str(v).split(",")) for r in made for v in r)
