@@ -3,7 +3,7 @@
 Rules come first: a rule is a host and a path prefix and fits that host and its subdomains; the
 longest that fits decides. Other URLs go to the method: host labels and path segments are split at their
 separators, and concatenated names are segmented by Viterbi over a unigram model; a word counts once for each host that has
-it, two at least, so that a name of one host isn't a word, and a seed lexicon is added; multinomial naive Bayes then scores the segmented tokens. It is trained on all URLs,
+it, two at least, and a run that splits into other words isn't one, so that a concatenated name with several hosts stays apart; a seed lexicon is added; multinomial naive Bayes then scores the segmented tokens. It is trained on all URLs,
 with the label that seed words give: a URL of whose host labels one, or a run of their words, is a seed word is
 unwanted. Add-one smoothing; a score over 0 (more likely unwanted) blocks.
 
@@ -86,6 +86,20 @@ class Segmenter:
         return out[::-1]
 
 
+def simple_words(counts: dict[str, int], always: frozenset[str]) -> dict[str, int]:
+    """``counts`` without the runs that split into two or more words of three letters at least; those of ``always`` stay and are parts too."""
+    words, out = set(always), {}
+    for w in sorted(counts, key=lambda w: (len(w), w)):
+        ends = {0}
+        for end in range(3, len(w) + 1):
+            if any(start in ends and w[start:end] in words for start in range(max(0, end - LONGEST), end - 2)):
+                ends.add(end)
+        if w in always or len(w) not in ends:
+            words.add(w)
+            out[w] = counts[w]
+    return out
+
+
 def raw_tokens(host: str, path: str) -> tuple[list[str], list[str]]:
     """Runs of letters of the host, without its public suffix, and runs of letters and digits of the path."""
     labels = host.split(":")[0].rsplit(".", 1)[0] if "." in host else host
@@ -144,7 +158,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     by_host = sites.mapInArrow(_raw, "word string, host string").distinct()
     top = by_host.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most_words)
     # seed and lexicon words count at least as the known words do on average
-    counts = {r["word"]: r["n"] for r in top.collect()}
+    counts = simple_words({r["word"]: r["n"] for r in top.collect()}, frozenset((*seeds, *lexicon)))
     floor = max(1, sum(counts.values()) // max(1, len(counts)))
     counts |= {w: max(floor, counts.get(w, 0)) for w in (*seeds, *lexicon)}
     held, seeds = counts, frozenset(seeds)

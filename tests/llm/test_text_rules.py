@@ -256,3 +256,13 @@ def test_licences_all_in_one_file(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), tmp_path / "documents.parquet")
     made = compare(spark, str(tmp_path), license.op6, license.OP6_SQL)
     assert any({label for label, _, _ in license.TEMPLATES} <= set(str(v).split(",")) for r in made for v in r)
+
+
+def test_url_names_of_several_hosts(spark):
+    good = [f"http://{a}.example.info/{c}/{k}" for k, (a, c) in enumerate([("garden", "spade"), ("tools", "hammer"), ("news", "today")] * 30)]
+    bad = [f"http://{a}.example.org/{k}" for k, a in enumerate(["casino-win", "cheap-pills"] * 8)]
+    names = [f"http://{h}/{k}" for h in ("cheapcasino.com", "www.cheapcasino.com", "m.cheapcasino.com", "cheapcasino.info:8080") for k in range(5)]
+    df = spark.createDataFrame(list(enumerate(good + bad + names)), "page_id long, url string")
+    got = {r.id: r.verdict for r in urlfilter.filter_urls(df).collect()}
+    n = len(good + bad)
+    assert all(got[n + k] == "block" for k in range(len(names))) and all(got[k] == "allow" for k in range(len(good)))
