@@ -43,6 +43,8 @@ CLOSES = {
     "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: What can stand in head; any other start tag, or text, ends it and begins the body.
+IN_HEAD = frozenset("base link meta title style script noscript template html head body".split())
 ENDS_P = (BLOCK - {"html", "body", "li", "dt", "dd", "tr", "td", "th", "caption", "thead", "tbody", "tfoot", "option", "optgroup", "select", "legend"}) | {"hr"}
 P_BORDER = frozenset("table td th caption button object body html".split())
 MOST_TABLES = 16
@@ -84,8 +86,15 @@ def build(html: str) -> Node:
 
     def text(raw: str) -> None:
         if raw:
+            if raw.strip(" \t\n\r\f"):
+                leave_head()
             stack[-1].children.append(unescape(raw) if "&" in raw else raw)
 
+    def leave_head() -> None:
+        if stack[-1].tag == "head":
+            stack.pop()
+            start("body")
+
     def close(names: set | frozenset, borders: set | frozenset) -> None:
         """End open elements up to and with the outermost of ``names`` above a border."""
         cut = None
@@ -108,6 +117,8 @@ def build(html: str) -> Node:
         at = m.end()
         if m[2]:
             tag = m[2].lower()
+            if tag not in IN_HEAD:
+                leave_head()
             if tag in ENDS_P:
                 close({"p"}, P_BORDER)
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
@@ -125,6 +136,8 @@ def build(html: str) -> Node:
                 at = stop
         elif m[1]:
             tag = m[1].lower()
+            if tag in ("br", "p", "body", "html"):
+                leave_head()
             if tag == "br":
                 start("br")
                 continue

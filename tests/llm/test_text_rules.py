@@ -266,3 +266,11 @@ def test_url_names_of_several_hosts(spark):
     got = {r.id: r.verdict for r in urlfilter.filter_urls(df).collect()}
     n = len(good + bad)
     assert all(got[n + k] == "block" for k in range(len(names))) and all(got[k] == "allow" for k in range(len(good)))
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<head><title>t</title><p>text", "text"), ("<html><head><meta charset=x>\n<title>t</title>bare <b>text</b>", "bare text"),
+    ("<head><script>x</script><style>y</style><div>a</div><p>b", "a\n\nb"), ("<head><title>t</title> <link rel=x> </head><body>z", "z"),
+])
+def test_html_without_body_tag(page, text):
+    assert html.extract(page) == text
