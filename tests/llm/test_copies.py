@@ -195,6 +195,15 @@ def test_copies_among_the_same_words(spark):
     assert got == true_classes(texts) and sum(len(c) == 2 for c in got) == 30
 
 
+def test_copies_with_an_added_passage(spark):
+    """A pair of 0.8 or more is found however the copy was changed."""
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 160)) for _ in range(60)]
+    texts += [f"{t} {' '.join(words(rng, 36))}" for t in texts]
+    got = linked(spark, texts)
+    assert got == true_classes(texts) and sum(len(c) == 2 for c in got) == 60
+
+
 def test_pipeline(spark, sf):
     """Stage by stage: columns, what goes and what stays."""
     from quillsift.llm import decontam, packing, quality
