@@ -204,6 +204,18 @@ def test_copies_with_an_added_passage(spark):
     assert got == true_classes(texts) and sum(len(c) == 2 for c in got) == 60
 
 
+def test_pairs_below_the_similarity_stay_apart(spark):
+    """Pairs of 0.7 to 0.8 are no copies."""
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 160)) for _ in range(40)]
+    for k in range(40):
+        near = texts[k].split()
+        near[20], near[60], near[100], near[140] = "one", "two", "three", "four"
+        texts.append(" ".join(near))
+    got = linked(spark, texts)
+    assert got == true_classes(texts) and len(got) == 80
+
+
 def test_pipeline(spark, sf):
     """Stage by stage: columns, what goes and what stays."""
     from quillsift.llm import decontam, packing, quality
