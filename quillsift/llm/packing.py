@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_table
-from .tokens import encoder, tokenizer_path
+from .tokens import encoded, tokenizer_path
 
 _SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 _ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("open", pa.bool_())])
@@ -102,15 +102,13 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, size
             rows.add((doc, start, n, bytes(ids), total, sequence, at, part, is_open), len(ids) + 64)
             at += n
 
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for k in range(0, len(ids), 256):
-            for doc, raw in zip(ids[k : k + 256], encoder(path).encode_many(texts.slice(k, 256).to_pylist())):
-                raw += end
-                for window in windows.put((doc, len(raw) // 4), 0, memoryview(raw)):
-                    emit(window, False)
-                    if rows.size > _FLUSH:
-                        yield rows.batch()
+    for docs, chunk in encoded(batches, path):
+        for doc, raw in zip(docs, chunk):
+            raw += end
+            for window in windows.put((doc, len(raw) // 4), 0, memoryview(raw)):
+                emit(window, False)
+                if rows.size > _FLUSH:
+                    yield rows.batch()
     for w in sorted(windows.pieces):
         emit(windows.pieces[w], True)
     yield rows.batch()

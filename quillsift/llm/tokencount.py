@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import scratch_path, write_table
 from .packing import Rows
 from .sstable import _filesystem
-from .tokens import encoder, tokenizer_path
+from .tokens import encoded, tokenizer_path
 
 #: The tokenizer's <|endoftext|>; its string in a text is ordinary text here.
 END = 49407
@@ -39,17 +39,17 @@ def _flat(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int
 
     uri = f"{folder}/tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u16"
     out, rows, n, end = None, Rows(_WRITTEN_ARROW), 0, end_id.to_bytes(2, "little")
-    for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1)
-        for k in range(0, len(docs), 256):
-            for doc, ids in zip(docs[k : k + 256], encoder(path, True).encode_many(texts.slice(k, 256).to_pylist())):
-                if out is None:
-                    files, local = _filesystem(uri)
-                    files.create_dir(posixpath.dirname(local), recursive=True)
-                    out = files.open_output_stream(local)
-                out.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() + end)
-                rows.add((doc, uri, n))
-                n += 1
+    for docs, chunk in encoded(batches, path, True):
+        if out is None:
+            files, local = _filesystem(uri)
+            files.create_dir(posixpath.dirname(local), recursive=True)
+            out = files.open_output_stream(local)
+        out.write(b"".join(np.frombuffer(ids, "<u4").astype("<u2").tobytes() + end for ids in chunk))
+        for doc in docs:
+            rows.add((doc, uri, n))
+            n += 1
+        if rows.size > 8 << 20:
+            yield rows.batch()
     if out is not None:
         out.close()
         yield rows.batch()
