@@ -12,7 +12,8 @@ sparse index of the blocks and a footer of fixed size:
 A key is 0x00 for null, else 0x01 and the identifier as 8 bytes, big end first, sign flipped, so that
 bytes compare as the identifiers do. A value is a byte with the width of an id (2 or 4) and the ids.
 
-Edge cases: null identifiers come first; repeated identifiers keep an entry each, in the order of their texts;
+Edge cases: null identifiers come first; repeated identifiers keep an entry each, in the order of their shards, then of their ids;
+one that fills more than a shard is dealt over several;
 null and empty texts have the end id only; an empty table gives no file; other columns aren't read.
 """
 
@@ -32,10 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, write_table
 from .packing import Rows
-from .tokens import encoder, tokenizer_path
+from .tokens import encoded, tokenizer_path
 
 MAGIC = b"QSSST001"
 _FOOTER = struct.Struct("<QQQQQQI8s")
+#: Identifiers that the bounds of shards are taken from, at most.
+SAMPLE = 1_000_000
+_DEALT = "id long, shard long, value binary"
+_DEALT_ARROW = pa.schema([("id", pa.int64()), ("shard", pa.int64()), ("value", pa.binary())])
 _MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 _READ = "id long, start long, n_tokens long, ids binary"
 _READ_ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -105,18 +110,20 @@ class Writer:
         self.place += len(raw)
 
     def add(self, key: bytes, ids: bytes) -> None:
+        self.add_value(key, _value(ids))
+
+    def add_value(self, key: bytes, value: bytes) -> None:
         shared = 0
         if self.count % self.restart:
             shared = next((i for i, (a, b) in enumerate(zip(key, self.last)) if a != b), min(len(key), len(self.last)))
         else:
             self.starts.append(self.size)
-        value = _value(ids)
         entry = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.block.append(entry)
         self.size += len(entry)
         self.count, self.last = self.count + 1, key
         self.hashes.append(_hashes(key))
-        self.n_docs, self.n_tokens = self.n_docs + 1, self.n_tokens + len(ids) // 4
+        self.n_docs, self.n_tokens = self.n_docs + 1, self.n_tokens + (len(value) - 1) // value[0]
         if self.size >= self.block_size:
             self._end_block()
 
@@ -225,29 +232,47 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
-    """One shard for each partition. A repeated attempt writes another file; only the
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, none_shards: int, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``id, shard, value`` of each document. A shard holds the identifiers from its bound to the next; a key that
+    several bounds name, or null, is dealt over their shards by a hash of its value."""
+    end, rows = b"" if end_id is None else end_id.to_bytes(4, "little"), Rows(_DEALT_ARROW)
+    for docs, chunk in encoded(batches, path):
+        for doc, ids in zip(docs, chunk):
+            value = _value(ids + end)
+            if doc is None:
+                shard = zlib.crc32(value) % none_shards
+            else:
+                low, high = np.searchsorted(bounds, doc, "left"), np.searchsorted(bounds, doc, "right")
+                shard = none_shards + int(high) - zlib.crc32(value) % max(1, int(high - low))
+            rows.add((doc, shard, value), len(value) + 32)
+        if rows.size > 8 << 20:
+            yield rows.batch()
+    yield rows.batch()
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """A file for each shard. A repeated attempt writes another one; only the
     file of the attempt that ended is in the manifest."""
-    from pyspark import TaskContext
+    writer = out = uri = own = None
 
-    shard = TaskContext.get().partitionId()
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
-    writer = out = uri = None
-    for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1)
-        for k in range(0, len(docs), 256):
-            for doc, ids in zip(docs[k : k + 256], encoder(path).encode_many(texts.slice(k, 256).to_pylist())):
-                if writer is None:
-                    uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-                    files, local = _filesystem(uri)
-                    files.create_dir(posixpath.dirname(local), recursive=True)
-                    out = files.open_output_stream(local)
-                    writer = Writer(out)
-                writer.add(key_of(doc), ids + end)
-    if writer is not None:
+    def close() -> pa.RecordBatch:
         writer.close()
         out.close()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
+        return pa.RecordBatch.from_pydict({"shard": [own], "path": [uri], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
+
+    for batch in batches:
+        for doc, shard, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if shard != own:
+                if writer is not None:
+                    yield close()
+                own, uri = shard, f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
+                files, local = _filesystem(uri)
+                files.create_dir(posixpath.dirname(local), recursive=True)
+                out = files.open_output_stream(local)
+                writer = Writer(out)
+            writer.add_value(key_of(doc), value)
+    if writer is not None:
+        yield close()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +290,28 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows.batch()
 
 
-def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 1) -> DataFrame:
-    """Write all documents to shards in ``folder``, in ascending order of their identifiers.
+def _bounds(ids: DataFrame, shards: int) -> tuple[int, np.ndarray]:
+    """The number of shards for null and the bounds of the others, from a sample of the identifiers as a range
+    partitioner takes it: ``SAMPLE`` at most, whatever the corpus. They only decide how even the shards are."""
+    total, none = ids.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
+    want = min(100 * shards, SAMPLE)
+    share = min(1.0, want / max(1, total - none))
+    sample = ids.where("id is not null").sample(share, 42).limit(2 * SAMPLE).toPandas()["id"].to_numpy(np.int64)
+    sample = np.sort(sample)
+    at = np.arange(1, shards) * len(sample) // shards
+    return max(1, -(-shards * none // max(1, total))), sample[at] if len(sample) else sample
+
+
+def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 1, shards: int | None = None) -> DataFrame:
+    """Write all documents to shards in ``folder``, in ascending order of their identifiers; ``shards``: about as many (default: as the
+    input has partitions). Texts become ids where they are read, so that only ids are shuffled.
     The manifest: ``shard, path, n_docs, n_tokens, base``, base being the tokens of all shards before."""
     path = tokenizer or tokenizer_path()
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = source.repartitionByRange("id").sortWithinPartitions("id", "text")
-    manifest = write_table(dealt.mapInArrow(lambda it: _write(it, folder, path, end_id), _MANIFEST), "shards")
+    none_shards, bounds = _bounds(source.select("id"), shards or max(1, docs.rdd.getNumPartitions()))
+    values = source.mapInArrow(lambda it: _encode(it, path, end_id, none_shards, bounds), _DEALT)
+    dealt = values.repartitionById(none_shards + len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", "value")
+    manifest = write_table(dealt.mapInArrow(lambda it: _write(it, folder), _MANIFEST), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
