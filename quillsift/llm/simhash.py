@@ -259,6 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
+#: Rows of a token in one task, about, in the rounds of neighbours.
+TOKEN_ROWS = 20_000
 #: Bins of a sketch; bits of a shingle's bin when frequencies are counted, the most bins kept, and a shingle without words.
 BINS, HOT_BITS, MOST_HOT, NO_WORDS = 256, 18, 100_000, 1
 
@@ -349,14 +351,18 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """``node, hashes``: the whole set of shingles of each text."""
     for batch in batches:
-        good, last, known = [], None, None
-        for x, y in zip(batch.column(2), batch.column(3)):
-            y = y.as_py()
-            if y != last:  # pairs of a text often stand together
-                last, known = y, shingles(y, size)
-            good.append(jaccard(shingles(x.as_py(), size), known) >= least - 1e-9)
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["node", "hashes"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    read = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+    for batch in batches:
+        good = [jaccard(read(x), read(y)) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3))]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
@@ -364,61 +370,69 @@ def _key(text_col: str):
     return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
 
 
-def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
     """``key, root, low`` of each distinct text (null counts as empty): the class that it belongs to and its least identifier.
 
     Texts link if the Jaccard similarity of their whole sets of word shingles is ``similarity`` or more; classes are what links connect.
     Candidates come from an exact prefix filter: two such texts share a token among the first of both, in an order of all
     shingles that has frequent ones last (an estimate, which only decides the effort); their sizes and the number of tokens that both prefixes
-    have must leave room for the overlap. First each text of a token is held against one text, then against one of another class, which settles large
-    groups with a few pairs a text; then all pairs that share a token and are still in different classes are verified.
+    have must leave room for the overlap. First, in ``rounds`` rounds, the texts of a token stand in a random order, another one in each
+    round, and neighbours of different classes are compared: a pair at most for a row, which settles large groups. Then all pairs that
+    share a token and are still in different classes are verified. Rows of a token that many texts have are dealt over several tasks.
     """
-    node = lambda c: F.unhex(F.substring(c, 1, 32))
     own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(_key(text_col).alias("key"), F.col(id_col).cast("long").alias("id"), own.alias("text"))
-    texts = write_table(texts.groupBy("key").agg(F.min("id").alias("low"), F.first("text").alias("text")).withColumn("node", node("key")), "texts")
+    texts = texts.groupBy("key").agg(F.min("id").alias("low"), F.first("text").alias("text"))
+    texts = write_table(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     source = texts.select("node", "text")
     frequent = source.select("text").mapInArrow(lambda it: _frequent(it, shingle), "bin long, n long")
     rank = np.zeros(1 << HOT_BITS, np.uint8)
     for r in frequent.groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bin").limit(MOST_HOT).collect():
         rank[r["bin"]] = r["n"].bit_length()
     ranks = rank.tobytes()
-    tokens = source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node binary, n int")
-    of_token = Window.partitionBy("token")
-    shared = tokens.withColumn("first", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token)).where("first <> last")
-    shared = write_table(shared.select("token", "node", "n"), "tokens")
-
-    def verified(x: str, y: str, met: DataFrame) -> DataFrame:
-        """The pairs that link, of those with a row for each token that both have. The prefix that ends first in the order
-        shares no more than these tokens, and what is behind it is ``n`` less its length, least(n) - 1."""
-        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        behind = F.ceil(similarity * F.greatest(n, m) - 1e-9) - 1
-        room = F.count("*") + F.max(behind) >= F.max(similarity / (1 + similarity) * (n + m)) - 1e-6
-        near = met.where(F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6)
-        pairs = near.groupBy(F.col(f"{x}.node").alias("a"), F.col(f"{y}.node").alias("b")).agg(room.alias("room")).where("room").select("a", "b")
+    tokens = write_table(source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node long, n int"), "prefixes")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+    # a token that no other text has is in no overlap: ``most`` is what a text can share at best
+    width = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    most = F.col("n") - width + F.count("*").over(Window.partitionBy("node"))
+    shared = write_table(tokens.join(counts, "token").withColumn("most", most.cast("int")), "tokens")
+    near = lambda x, y: F.least(x.most, y.most) >= similarity / (1 + similarity) * (x.n + y.n) - 1e-6
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs ``a``, ``b`` that link."""
         pairs = write_table(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        some = write_table(source.join(ends, "node", "left_semi"), "ends")
-        of = lambda c: some.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
-        return write_table(both.mapInArrow(lambda it: _verified(it, shingle, similarity), "a binary, b binary"), "links")
-
-    def against(rows: DataFrame) -> DataFrame:
-        """Links of each text of a token with the least one of the token, or of its last class."""
-        one = F.struct("class", "node", "n")
-        rows = rows.withColumn("least", F.min(one).over(of_token)).withColumn("most", F.max(one).over(of_token))
-        other = F.when(F.col("class") != F.col("least.class"), F.col("least")).when(F.col("class") != F.col("most.class"), F.col("most"))
-        return verified("x", "y", rows.select(F.struct("node", "n").alias("x"), other.alias("y")).where("y IS NOT NULL"))
+        sets = write_table(source.join(ends, "node", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "node long, hashes binary"), "sets")
+        of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
+        return both.mapInArrow(lambda it: _verified(it, similarity), "a long, b long")
+
+    def neighbours(rows: DataFrame, seed: int) -> DataFrame:
+        at = F.xxhash64(F.lit(seed), "node")
+        deal = F.pmod(F.xxhash64(F.lit(seed + 1000), "node"), F.ceil(F.col("rows") / TOKEN_ROWS))
+        order = Window.partitionBy("token", "deal").orderBy("at", "node")
+        x = F.lead(F.struct("class", "node", "n", "most")).over(order)
+        beside = rows.withColumn("at", at).withColumn("deal", deal).withColumn("x", x)
+        open_pairs = beside.where((F.col("class") != F.col("x.class")) & near(F.struct("n", "most"), F.col("x")))
+        return open_pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
 
     def classed(roots: DataFrame) -> DataFrame:
-        named = shared.join(roots.select("node", "root"), "node", "left")
-        return write_table(named.select("token", F.coalesce("root", "node").alias("class"), "node", "n"), "classed")
-
-    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-
-    roots = components(against(shared.withColumn("class", F.col("node"))))
-    roots = joined(roots, against(classed(roots)))
+        """The rows of tokens that more than one class has."""
+        named = shared.join(roots.select("node", "root"), "node", "left").select("token", F.coalesce("root", "node").alias("class"), "node", "n", "most", "rows")
+        return write_table(named, "classed")
+
+    tried, roots = None, None
+    for seed in range(rounds):
+        rows = shared.withColumn("class", F.col("node")) if roots is None else classed(roots)
+        pairs = neighbours(rows, seed)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = write_table(pairs, "candidates")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = verified(pairs)
+        if roots is not None:
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+        roots = components(links)
     rows = classed(roots)
     # the largest class of a token is held against the others only, so that its own pairs aren't made
     sizes = rows.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("x"))
@@ -426,12 +440,15 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     x, y = open_rows.where("class <> major").alias("x"), open_rows.alias("y")
     once = (F.col("y.class") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once
-    n, m = F.col("x.n"), F.col("y.n")
-    near = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
-    # a pair of two lesser classes at one token may have the largest at another: the smaller node is x
-    turned = F.col("x.node") > F.col("y.node")
-    met = x.join(y, apart & near).select(F.when(turned, F.struct("y.node", "y.n")).otherwise(F.struct("x.node", "x.n")).alias("x"), F.when(turned, F.struct("x.node", "x.n")).otherwise(F.struct("y.node", "y.n")).alias("y"))
-    roots = joined(roots, verified("x", "y", met))
+    sides = (F.struct(*[F.col(f"{t}.{c}") for c in ("n", "most")]) for t in "xy")
+    met = x.join(y, apart & near(*sides)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    # the prefix that ends first in the order shares no more than the common tokens, and what is behind it is n less its length, least(n) - 1
+    behind = F.ceil(similarity * F.greatest("n", "m") - 1e-9) - 1
+    room = F.count("*") + F.max(behind) >= F.max(similarity / (1 + similarity) * (F.col("n") + F.col("m"))) - 1e-6
+    pairs = met.groupBy("a", "b").agg(room.alias("room")).where("room").select("a", "b")
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs)))
     nodes = texts.select("key", "low", "node").join(roots, "node", "left")
     return write_table(nodes.select("key", F.coalesce("root", "node").alias("root"), "low"), "classes")
 
@@ -443,7 +460,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(text_col).alias("__own"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"))
     kept = kept.select("__key", F.coalesce(F.col("__low").cast("string"), F.lit("")).alias("__low"))
     there = rows.join(kept, (F.col("__own") == F.col("__key")) & (F.col("__id") == F.col("__low")), "left_semi")
-    return there.groupBy("__own", "__id").agg(F.first("row").alias("row")).select("row.*")
+    # repeated rows with other columns that differ: the one with the least hash of them
+    sortable = [F.to_json(F.struct(F.col(f"row.`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"row.`{f.name}`") for f in docs.schema.fields]
+    return there.groupBy("__own", "__id").agg(F.min_by("row", F.xxhash64(*sortable)).alias("row")).select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
