@@ -156,8 +156,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns that they came with. Counts of
-    the labelled documents are made once more, so that no text is shuffled or written."""
-    cutoffs = thresholds(measured(docs, id_col, text_col, stratum_col), labels, **options)
+    the labelled documents alone are made once more; they are joined before the counts, so that no other text is read twice by the rules."""
+    label_id = options.get("label_id_col", "doc_id")
+    marked = labels.select(F.col(label_id).cast("long").alias("__marked")).where("__marked is not null").distinct()
+    some = docs.join(marked, F.col(id_col).cast("long") == F.col("__marked"), "left_semi")
+    cutoffs = thresholds(measured(some, id_col, text_col, stratum_col), labels, **options)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text, stratum = F.col("row")[text_col], F.coalesce(F.col("row")[stratum_col].cast("string"), F.lit(""))
     return judged(rows.select("row", stratum.alias("stratum"), features(text).alias("f")), cutoffs).where("kept").select("row.*")
