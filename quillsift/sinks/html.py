@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html import escape
 
-from .chart import chart
+from .chart import LANE_WIDTH, NAME, chart
 from .report import Report, aggregate
 
 _STYLE = """
@@ -18,23 +18,14 @@ code{font:13px ui-monospace,monospace}.critical{color:#8f1d1d}.high{color:#a1500
 
 def _svg(c: dict) -> str:
     ink = {"critical": "#8f1d1d", "high": "#a1500c", "medium": "#7a6200", "low": "#33566e"}
-    parts = [f'<svg viewBox="0 0 {c["width"]:g} {c["height"]:g}" role="img" aria-label="Findings by file and severity">']
-    for level in c["severity_levels"]:
-        parts.append(f'<line x1="{c["plot_left"]:g}" x2="{c["plot_right"]:g}" y1="{level["y"]:g}" y2="{level["y"]:g}" stroke="#d8dee6"/><text x="4" y="{level["y"] + 4:g}" font-size="11">{level["label"]}</text>')
-    parts.append(f'<polyline fill="none" stroke="#5b6b7b" points="{c["trace"]}"/>')
-    for e in c["events"]:
-        color = ink[e["severity"]]
-        parts.append(f'<polyline fill="none" stroke="{color}" stroke-width="2" points="{e["peak"]}"/>')
-        x, y = e["x"], e["y"] - 8
-        shape = {
-            "triangle": f'<path d="M{x:g} {y - 6:g}l6 10h-12z" fill="{color}"/>',
-            "circle": f'<circle cx="{x:g}" cy="{y:g}" r="5" fill="{color}"/>',
-            "diamond": f'<path d="M{x:g} {y - 6:g}l6 6-6 6-6-6z" fill="{color}"/>',
-            "bar": f'<rect x="{x - 6:g}" y="{y - 2:g}" width="12" height="4" fill="{color}"/>',
-        }[e["glyph"]]
-        parts.append(f'{shape}<text x="{x + 8:g}" y="{y:g}" font-size="11">{e["index"]}</text>')
-    for b in c["blocks"]:
-        parts.append(f'<text x="{b["center"]:g}" y="{c["height"] - 8:g}" font-size="10" text-anchor="middle">{escape(b["file"].rsplit("/", 1)[-1])}</text>')
+    parts = [f'<svg viewBox="0 0 {c["width"]} {c["height"]}" role="img" aria-label="Findings by file and severity">']
+    for lane in c["lanes"]:
+        y = lane["middle"]
+        parts.append(f'<text x="0" y="{y + 4}" font-size="11">{escape(lane["file"].rsplit("/", 1)[-1][:36])}</text><line x1="{NAME}" x2="{NAME + LANE_WIDTH}" y1="{y}" y2="{y}" stroke="#d8dee6"/>')
+        for m in lane["marks"]:
+            parts.append(f'<circle cx="{m["left"]}" cy="{y}" r="5" fill="{ink[m["severity"]]}"><title>{m["number"]}: {m["severity"]}</title></circle>')
+        for p in lane["bar"]:
+            parts.append(f'<rect x="{p["left"]}" y="{y - 7}" width="{p["width"]}" height="14" fill="{ink[p["severity"]]}"><title>{p["count"]} {p["severity"]}</title></rect>')
     return "".join(parts) + "</svg>"
 
 

@@ -34,6 +34,6 @@ def sarif_report(r: Report) -> str:
     call: dict = {"executionSuccessful": r.summary["errors"] == 0}
     if r.errors:
         call["toolExecutionNotifications"] = [{"message": {"text": f"Scan warning in {e['file']}: {e['message']}"}, "level": "warning", "descriptor": {"text": "ScanWarning"}} for e in r.errors]
-    driver = {"name": "quillsift", "version": SCANNER_VERSION, "informationUri": "https://spark.apache.org", "rules": [rules[k] for k in sorted(rules)]}
+    driver = {"name": "quillsift", "version": SCANNER_VERSION, "rules": [rules[k] for k in sorted(rules)]}
     doc = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "invocations": [call], "results": [_result(f) for f in r.findings]}]}
     return json.dumps(doc, indent=2, ensure_ascii=False) + "\n"

@@ -60,10 +60,13 @@ def test_formats():
 
 
 def test_chart():
-    c = chart(SOME.findings, ["a.yaml", "z.yaml"])
-    assert [b["file"] for b in c["blocks"]] == ["a.yaml", "b.yaml", "z.yaml"] and [e["index"] for e in c["events"]] == [1, 2]
-    assert c["events"][0]["y"] < c["events"][1]["y"] and len(c["trace"].split()) == 480 and chart([], [])["events"] == []
-    assert all(c["plot_left"] <= e["x"] <= c["plot_right"] and e["peak"] for e in c["events"])
+    more = [*SOME.findings, finding(line=1, severity="odd"), finding(file="")]
+    c = chart(more, ["a.yaml", "z.yaml"])
+    assert [x["file"] for x in c["lanes"]] == ["a.yaml", "b.yaml", "z.yaml"] and chart([], [])["lanes"] == []
+    assert [[m["number"] for m in x["marks"]] for x in c["lanes"]] == [[1, 3], [2], []]
+    first = c["lanes"][0]
+    assert [p["severity"] for p in first["bar"]] == ["critical", "low"] and first["marks"][1]["left"] < first["marks"][0]["left"] <= c["width"]
+    assert chart(more, ["a.yaml", "z.yaml"]) == c and html_report(SOME) == html_report(SOME)
 
 
 def broken():
