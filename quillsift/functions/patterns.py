@@ -35,4 +35,14 @@ SSH_BASE64 = ("AAAAB3NzaC1yc2E", "AAAAC3NzaC1lZDI1NTE5", "AAAAE2VjZHNhLXNoYTItbm
 SENSITIVE_KEYS = ("pass", "secret", "token", "api_key", "apikey", "auth", "credential", "private_key", "key")
 
 RE2 = {name: value for name, value in list(globals().items()) if name.isupper() and isinstance(value, str)}
-JAVA = {name: to_java(value) for name, value in RE2.items()}
+#: Patterns with the same language as those above, for an engine that backtracks: no repeated group that could overflow the
+#: stack, and no two runs over the same characters. A directory before an image's last part may be any, so only the last part counts;
+#: the first colon of a URL's user will do if a later one does.
+_PARTS = to_java(r"(?:-[a-z]+)*")
+FLAT = {
+    "IMAGE": to_java(r"(?i)(?:^|/)[a-z0-9._-]+(?::[a-z0-9._-]+|@sha256:[a-f0-9]{64})$"),
+    "DNS_NAME": r"\A(?![^\n]*(?:\.[.\-]|-\.))[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?\z",
+    "URL_USER": to_java(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/@\s:]*:[^/@\s]+@"),
+    "REFERENCE": to_java(REFERENCE).replace(_PARTS, _PARTS[:-3] + "++)*+"),
+}
+JAVA = {name: to_java(value) for name, value in RE2.items()} | FLAT

@@ -18,6 +18,8 @@ POSIX = {
     "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
     "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": WORD, "xdigit": "0-9A-Fa-f",
 }
+#: General categories.
+CATEGORIES = frozenset("C Cc Cf Co Cs L Ll Lm Lo Lt Lu M Mc Me Mn N Nd Nl No P Pc Pd Pe Pf Pi Po Ps S Sc Sk Sm So Z Zl Zp Zs".split())
 _LITERAL_ESCAPES = {"a": r"\x07", "f": r"\f", "n": r"\n", "r": r"\r", "t": r"\t", "v": r"\x0B"}
 
 
@@ -177,7 +179,9 @@ class _Reader:
             else:
                 name = self.take()
             negated, name = (c == "P") != name.startswith("^"), name.lstrip("^")
-            if not name.replace("_", "").isalpha():
+            if name == "Any":
+                return "[^\\x{0}-\\x{10FFFF}]" if negated else "[\\x{0}-\\x{10FFFF}]"
+            if not _known_class(name):
                 raise PatternError("invalid character class range")
             return f"\\{'P' if negated else 'p'}{{{name if len(name) <= 2 else 'Is' + name}}}"
         if not in_set:
@@ -222,6 +226,8 @@ class _Reader:
                 high = self._member()
                 if high.startswith("[") or high.startswith(("\\p", "\\P")):
                     raise PatternError("invalid character class range")
+                if _code(high) < _code(low):
+                    raise PatternError("invalid character class range")
                 parts.append(f"{low}-{high}")
             else:
                 parts.append(low)
@@ -237,6 +243,27 @@ class _Reader:
         return "\\" + c if c in "[]&^-~#\\" else c
 
 
+def _code(member: str) -> int:
+    """The code point of a member of a set, as it was emitted."""
+    if member.startswith("\\x"):
+        return int(member[2:].strip("{}"), 16)
+    return ord({"n": "\n", "r": "\r", "t": "\t", "f": "\f"}.get(member[1:], member[1:]) if member.startswith("\\") and len(member) > 1 else member)
+
+
+def _known_class(name: str) -> bool:
+    """A general category, by its one or two letters, or a script that Unicode names."""
+    if name in CATEGORIES:
+        return True
+    if not name.isascii() or not all(part.istitle() for part in name.split("_")):
+        return False
+    import regex
+
+    try:
+        return bool(regex.compile(rf"\p{{Script={name}}}"))
+    except regex.error:
+        return False
+
+
 def _quoted(c: str) -> str:
     return "\\" + c if c in r"\.[]{}()<>*+-=!?^$|#&~" else c
 

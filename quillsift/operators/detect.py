@@ -21,6 +21,7 @@ from ..schemas import FINDING_COLUMNS
 MATCH = "struct<seq: int, rule_id: string, description: string, severity: string, confidence: string, value: string>"
 ENTROPY, ENV = "internal.shannon-entropy", "internal.sensitive-env-var"
 DEFAULT_THRESHOLD = 4.5
+MOST_RULES = 500
 
 
 @dataclass(frozen=True)
@@ -280,7 +281,8 @@ def all_matches(scalars: DataFrame, detectors: Iterable[str] = ALL, **options) -
 
 def masked(matched: DataFrame) -> DataFrame:
     """A row for each match, masked in the projection that reads it."""
-    rows = matched.select("file", "line", "column", "field_path", "resource", "kind", F.explode("matches").alias("m"))
+    # not ``explode``: the optimiser would push a filter on the array's size below it and compute all matches for that once more
+    rows = matched.select("file", "line", "column", "field_path", "resource", "kind", F.explode_outer("matches").alias("m")).where("m IS NOT NULL")
     of = {n: F.col(f"m.{n}") for n in ("rule_id", "description", "severity", "confidence")} | {"match": mask(F.col("m.value"))}
     return rows.select(*[of[c].alias(c) if c in of else c for c in FINDING_COLUMNS])
 
@@ -304,7 +306,11 @@ def as_scalars(df: DataFrame, **columns: Column | str) -> DataFrame:
 
 
 def cross_rules(scalars: DataFrame, rules: DataFrame) -> DataFrame:
-    """Custom rules as a relation, for rule sets that are data: a nested-loop join whose rules side is broadcast; rules are 500 at most."""
-    pairs = scalars.crossJoin(F.broadcast(rules))
-    hits = pairs.withColumn("matches", F.expr("transform(regexp_extract_all(value, pattern, 0), v -> struct(4 AS seq, id AS rule_id, description, severity, confidence, v AS value))"))
-    return masked(hits.withColumn("matches", resolved(F.col("matches"))))
+    """Custom rules as a relation (with Java patterns), for rule sets that are data: ``MOST_RULES`` at most. They become literals of
+    the plan, so that each is compiled once and the scalars are read once."""
+    known = rules.limit(MOST_RULES + 1).collect()
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    value = F.col("value")
+    parts = [_found(F.regexp_extract_all(value, F.lit(r["pattern"]), F.lit(0)), ALL.index("custom"), (r["id"], r["description"], r["severity"], r["confidence"])) for r in known]
+    return masked(scalars.withColumn("matches", resolved(F.concat(*parts) if parts else _none())))

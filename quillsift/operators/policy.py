@@ -145,16 +145,31 @@ def _jwts_of(values: Column) -> Column:
     return valid(values)
 
 
-def respond(decided: DataFrame) -> DataFrame:
-    """``uid, response``: the review that goes back, as JSON."""
+def respond(decided: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``uid, response``: the review that goes back, as JSON; ``keep``: further columns to keep."""
     body = F.struct(
         F.col("api_version").alias("apiVersion"), F.col("review_kind").alias("kind"),
         F.struct("uid", "allowed", F.when(~F.col("allowed"), F.struct(F.lit(403).alias("code"), F.col("deny_message").alias("message"))).alias("status"), "warnings").alias("response"),
     )
-    return decided.select("uid", F.to_json(body).alias("response"))
+    return decided.select(*keep, "uid", F.to_json(body).alias("response"))
 
 
-def admit(bodies: DataFrame, config: PolicyConfig = PolicyConfig(), body_col: str = "body", **options) -> tuple[DataFrame, DataFrame]:
+def failed_response(body: str, why: str) -> tuple[int, str]:
+    """Status and body for a request whose scan failed: what can be read of it is denied."""
+    import json
+
+    try:
+        review = json.loads(body)
+    except ValueError:
+        return 400, "invalid JSON"
+    request = review.get("request") if isinstance(review, dict) else None
+    if not isinstance(request, dict):
+        return 400, "missing request envelope"
+    said = {"uid": request.get("uid"), "allowed": False, "status": {"code": 403, "message": f"admission denied: internal scanner failure: {why}"}}
+    return 200, json.dumps({"apiVersion": review.get("apiVersion"), "kind": review.get("kind"), "response": said})
+
+
+def admit(bodies: DataFrame, config: PolicyConfig = PolicyConfig(), body_col: str = "body", keep: tuple[str, ...] = (), **options) -> tuple[DataFrame, DataFrame]:
     """Responses to the valid reviews, and the others with their status and reason. Requests without an object are allowed."""
     read = reviews(bodies, body_col)
     scanned = scan_objects(read.where("status = 200"), **options)
@@ -162,4 +177,4 @@ def admit(bodies: DataFrame, config: PolicyConfig = PolicyConfig(), body_col: st
     if config.deny_unscannable:
         failed = F.col("scan_failed")
         decided = decided.withColumn("deny_message", F.when(failed, "admission denied: the object can't be scanned").otherwise(F.col("deny_message"))).withColumn("allowed", F.col("allowed") & ~failed)
-    return respond(decided), read.where("status <> 200").select(body_col, "status", "reason")
+    return respond(decided, keep), read.where("status <> 200").select(*keep, body_col, "status", "reason")

@@ -274,9 +274,9 @@ _SHAPES = [
 ]
 
 
-def _shape_sql(kind: str) -> str:
+def _shape_sql(kind: str, shapes: list[str] = _SHAPES) -> list[str]:
     parts = []
-    for s in _SHAPES:
+    for s in shapes:
         text = s.replace("{{", "\0").replace("}}", "\1")
         for name, sql in (("{k12}", f"lpad(CAST(c_custkey AS {kind}), 12, '0')"), ("{k}", f"CAST(c_custkey AS {kind})"), ("{md5}", f"md5(CAST(c_custkey AS {kind}))")):
             text = text.replace(name, f"\2{sql}\2")
@@ -298,6 +298,23 @@ def suppressor_matrix(spark, sf_dir):
     return t.select("c_custkey", "shape", *[x.alias(k) for k, x in detect.token_suppressors(F.col("t")).items()], F.round(entropy(F.col("t")), 6).alias("h"))
 
 
+#: Whole values that are or aren't known not to be credentials, each with a customer's key in it.
+_VALUES = [
+    " ssh-rsa {md5} a@b\n", "ssh-rsa{md5}", "-----BEGIN CERTIFICATE-----{md5}", "-----BEGIN PUBLIC KEY-----{md5}", "-----BEGIN CERTIFICATE-----{md5}-----BEGIN PRIV" + "ATE KEY-----", "{{{{ .Values.{k} }}}}",
+    "${{{k}}}", "$({k})", "<{k}-token>", "<two {k}>", "$2b$10${md5}", "data:text/plain;{md5}", "Zx9!Kq2#{md5}", "\t{{{{{k}",
+]
+
+
+def _cases(shapes: list[str], kind: str) -> str:
+    return " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_shape_sql(kind, shapes)))
+
+
+@register("value_suppressors", f"SELECT c_custkey, {value_suppressed_sql('v')} AS known FROM (SELECT c_custkey, CASE c_custkey % {len(_VALUES)} {_cases(_VALUES, 'VARCHAR')} END AS v FROM customer)")
+def value_suppressors(spark, sf_dir):
+    made = F.expr("CASE c_custkey % %d %s END" % (len(_VALUES), _cases(_VALUES, "STRING").replace("\n", "\\n").replace("\t", "\\t")))
+    return table(spark, sf_dir, "customer").select("c_custkey", detect.value_suppressed(made).alias("known"))
+
+
 @register("secret_base64_decode", "SELECT s_suppkey, s_suppkey % 3 = 2 AS failed, CASE WHEN s_suppkey % 3 = 2 THEN NULL ELSE s_name || '/' || s_suppkey END AS text FROM supplier")
 def secret_base64_decode(spark, sf_dir):
     """Padded, unpadded and broken."""
@@ -409,7 +426,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = firsts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("rule_id", "severity", "field_path"))).alias("findings"))
     who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.expr(_NS).alias("namespace"), F.lit("Deployment").alias("kind"), F.col("c_name").alias("name"), F.concat(F.lit("repo/"), (F.col("c_custkey") % 60).cast("string"), F.lit(".yaml")).alias("file"))
     empty = F.array().cast("array<struct<rule_id: string, severity: string, field_path: string>>")
-    return who.join(F.broadcast(lists), "file", "left").withColumn("findings", F.coalesce("findings", empty))
+    return who.join(lists, "file", "left").withColumn("findings", F.coalesce("findings", empty))
 
 
 def _decided(mode: str, level: int) -> str:
@@ -480,7 +497,7 @@ def _lines(*parts: str | Column) -> Column:
 
 
 def _scan(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    scalars, failed = extract(from_documents(rows, "name", "yaml"))
+    scalars, failed, _ = extract(from_documents(rows, "name", "yaml"))
     return detect.findings(scalars), failed
 
 
@@ -521,6 +538,18 @@ def configmap_scan(spark, sf_dir):
     return found.select("file", "rule_id", "field_path", "line")
 
 
+_NESTED = "SELECT n_name AS file, p AS field_path, l AS line FROM nation, (VALUES ('secrets[0][0]', 3), ('secrets[0][1][0]', 4), ('secrets[1].b', 5)) t(p, l)"
+
+
+@register("nested_sequences", _NESTED)
+def nested_sequences(spark, sf_dir):
+    """Sequences in sequences, and a mapping in one."""
+    aws = F.concat(F.lit("AKI"), F.lit("A"), F.upper(F.substr(F.md5("n_name"), F.lit(1), F.lit(16))))
+    text = _lines("kind: Pod\nsecrets:\n- - ", aws, "\n  - - ", aws, "\n- b: ", aws, "\n")
+    found, _ = _scan(spark, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), text.alias("yaml")))
+    return found.select("file", "field_path", "line")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

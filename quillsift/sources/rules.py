@@ -5,9 +5,9 @@ from __future__ import annotations
 import yaml
 
 from ..functions.re2 import PatternError, to_java
-from ..operators.detect import Rule
+from ..operators.detect import MOST_RULES, Rule
 
-MOST_RULES, MOST_BYTES = 500, 1024
+MOST_BYTES = 1024
 SEVERITIES, CONFIDENCES = ("critical", "high", "medium", "low"), ("high", "medium", "low")
 
 
