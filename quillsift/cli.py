@@ -1,4 +1,4 @@
-"""Command line: ``scan`` a directory, or turn a scan's JSON into a ``report``.
+"""Command line: ``scan`` a directory, turn a scan's JSON into a ``report``, or answer admission reviews as a ``webhook``.
 
 Exit codes of ``scan``: 2 for errors or a wrong configuration, 1 for findings, else 0. With ``--fail-on`` the code is 1 if the gate fails.
 """
@@ -11,6 +11,7 @@ import sys
 
 from .functions.re2 import PatternError, to_java
 from .operators.detect import DEFAULT_THRESHOLD
+from .operators.policy import PolicyConfig
 from .operators.summarise import SEVERITIES
 from .operators.validate import ReportError, load_report
 from .sinks import Report, formatter, html_report, summary_report
@@ -35,9 +36,40 @@ def parser() -> argparse.ArgumentParser:
     report.add_argument("--input", "-i", required=True)
     report.add_argument("--output", "-o", required=True)
     report.add_argument("--format", "-f", choices=["html", "json"], required=True)
+    hook = sub.add_parser("webhook")
+    hook.add_argument("--port", type=int, default=8443)
+    hook.add_argument("--tls-cert")
+    hook.add_argument("--tls-key")
+    hook.add_argument("--mode", default="enforce")
+    hook.add_argument("--min-severity", default="high")
+    hook.add_argument("--ignore-namespaces", default=",".join(PolicyConfig.ignore_namespaces))
+    hook.add_argument("--rules")
     return top
 
 
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("quillsift").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+
+
+def _webhook(args: argparse.Namespace) -> int:
+    try:
+        rules = tuple(load_rules(args.rules)) if args.rules else ()
+    except RulesError as e:
+        print(f"Configuration error: {e}", file=sys.stderr)
+        return 2
+    from .streaming.endpoint import Judge, server
+
+    config = PolicyConfig(args.mode, args.min_severity, tuple(args.ignore_namespaces.split(",")))
+    http = server(Judge(_session(), config, rules=rules), args.port, args.tls_cert, args.tls_key)
+    try:
+        http.serve_forever()
+    except KeyboardInterrupt:
+        http.server_close()
+    return 0
+
+
 def _scan(args: argparse.Namespace) -> int:
     try:
         write = formatter(args.format)
@@ -47,16 +79,19 @@ def _scan(args: argparse.Namespace) -> int:
     except (ValueError, PatternError, RulesError) as e:
         print(f"Configuration error: {e}", file=sys.stderr)
         return 2
-    if not os.path.isdir(args.dir):
+    if "://" not in args.dir and not os.path.isdir(args.dir):
         print(f"Fatal scan error: target is not a directory: {args.dir}", file=sys.stderr)
         return 2
-    from pyspark.sql import SparkSession
-
     from .plans.engine import ScanOptions, scan_directory
 
-    spark = SparkSession.builder.appName("quillsift").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     options = ScanOptions(rules, args.entropy_threshold, tuple(args.entropy_allow), args.max_file_size, args.workers)
-    report = scan_directory(spark, args.dir, options).report()
+    if args.verbose:
+        print(f"Scanning {args.dir} with {len(rules)} custom rules, entropy threshold {args.entropy_threshold}", file=sys.stderr)
+    scan = scan_directory(_session(), args.dir, options)
+    report = scan.report()
+    scan.close()
+    if args.verbose:
+        print(f"{report.summary['files_scanned']} files in {report.summary['duration_ms']} ms", file=sys.stderr)
     for e in report.errors:
         print(f"Warning in {e['file']}: {e['message']}", file=sys.stderr)
     sys.stdout.write(write(report))
@@ -85,7 +120,7 @@ def main(argv: list[str] | None = None) -> int:
         args = parser().parse_args(argv)
     except SystemExit as e:
         return int(e.code or 0)
-    return _scan(args) if args.command == "scan" else _report(args)
+    return {"scan": _scan, "report": _report, "webhook": _webhook}[args.command](args)
 
 
 if __name__ == "__main__":

@@ -14,6 +14,10 @@ from ..sinks.report import Report
 from ..sources.manifests import MAX_FILE_SIZE, extract, from_documents, read_directory
 
 
+#: Findings in a report at most.
+MOST_REPORTED = 1_000_000
+
+
 @dataclass(frozen=True)
 class ScanOptions:
     rules: tuple[Rule, ...] = ()
@@ -33,14 +37,25 @@ class Scan:
     findings: DataFrame
     errors: DataFrame
     began: float = field(default_factory=time.monotonic)
+    walked: DataFrame | None = None
+
+    def close(self) -> None:
+        """Give the cached scalars back."""
+        if self.walked is not None:
+            self.walked.unpersist()
 
     def summary(self, duration_ms: int = 0) -> DataFrame:
         return summarise.summary(self.findings, self.errors, self.files.select("file"), duration_ms)
 
-    def report(self) -> Report:
-        """Collected in order. Counts come from what was collected, so the scan runs once."""
-        found = [r.asDict() for r in ordered(self.findings).collect()]
-        errors = [r.asDict() for r in ordered_errors(self.errors).collect()]
+    def report(self, most: int = MOST_REPORTED) -> Report:
+        """Read in order, a partition at a time. Counts come from what was read, so the scan runs once. A report
+        is a document for people: beyond ``most`` findings this raises, and ``findings`` is to be written as a table."""
+        found = []
+        for r in ordered(self.findings).toLocalIterator():
+            if len(found) == most:
+                raise ValueError(f"more than {most} findings: write the relation instead of a report")
+            found.append(r.asDict())
+        errors = [r.asDict() for r in ordered_errors(self.errors).limit(most).toLocalIterator()]
         levels = {s: sum(f["severity"] == s for f in found) for s in summarise.SEVERITIES}
         total = {"files_scanned": self.files.select("file").count(), "findings": len(found), "errors": len(errors), **levels, "duration_ms": int(1000 * (time.monotonic() - self.began)), "scanner_version": summarise.SCANNER_VERSION}
         return Report(total, found, errors)
@@ -51,8 +66,8 @@ def scan_scalars(scalars: DataFrame, options: ScanOptions = ScanOptions()) -> Da
 
 
 def scan_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> Scan:
-    scalars, errors = extract(files)
-    return Scan(files, scan_scalars(scalars, options), errors)
+    scalars, errors, walked = extract(files)
+    return Scan(files, scan_scalars(scalars, options), errors, walked=walked)
 
 
 def scan_directory(spark: SparkSession, target: str, options: ScanOptions = ScanOptions()) -> Scan:

@@ -98,7 +98,10 @@ class ManifestSource(DataSource):
 
 
 def read_directory(spark: SparkSession, target: str, max_file_size: int = MAX_FILE_SIZE, workers: int | None = None) -> DataFrame:
-    """``file, length, content, error`` of each manifest under a directory that driver and executors share."""
+    """``file, length, content, error`` of each manifest under a directory that driver and executors share, or under the URI
+    of a store that Spark reads."""
+    if "://" in target:
+        return read_store(spark, target, max_file_size)
     if not os.path.isdir(target):
         raise NotADirectoryError(f"target is not a directory: {target}")
     spark.dataSource.register(ManifestSource)
@@ -106,6 +109,20 @@ def read_directory(spark: SparkSession, target: str, max_file_size: int = MAX_FI
     return spark.read.format("manifests").option("maxFileSize", max_file_size).option("partitions", n).load(target)
 
 
+def read_store(spark: SparkSession, uri: str, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
+    """The same for any file system that Spark knows: executors list and read. As Spark has it, names that begin with ``.`` or ``_`` are left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
+    inside = F.substr("path", F.lit(len(uri.rstrip("/")) + 1))
+    kept = F.lower("path").rlike(r"\.ya?ml\z")
+    for name in PRUNED_DIRS:
+        kept = kept & ~inside.contains(f"/{name}/")
+    found = found.where(kept)
+    columns = lambda content, error: (F.col("path").alias("file"), "length", content.alias("content"), error.cast("string").alias("error"))
+    said = F.concat(F.lit("file size ("), F.col("length").cast("string"), F.lit(f" bytes) exceeds maximum limit of {max_file_size} bytes"))
+    read = found.where(F.col("length") <= max_file_size).select(*columns(F.col("content"), F.lit(None)))
+    return read.unionByName(found.where(F.col("length") > max_file_size).select(*columns(F.lit(None).cast("binary"), said)))
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["file", "doc_index", "resource", "kind", "field_path", "line", "column", "key_name", "nearby_keys", "value", "scan_mode", "error"]
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string()]
@@ -122,8 +139,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in part], t) for n, t in zip(names, kinds)], names=names)
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``scalars`` and ``errors`` of a relation of files (``file, content, error``). The entries of a Secret's data are decoded:
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``scalars``, ``errors`` and the cached relation that both read, of a relation of files (``file, content, error``). The entries of a Secret's data are decoded:
     what isn't base64 becomes an error that names the key only, binary payloads are left out."""
     from pyspark import StorageLevel
 
@@ -134,7 +151,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     opened = data.where("not __d.error and __d.text is not null").withColumn("value", F.col("__d.text")).withColumn("scan_mode", F.lit("full")).drop("__d")
     scalars = plain.where("scan_mode <> 'secret_data'").unionByName(opened).drop("error")
     undecoded = data.where("__d.error").select("file", F.concat(F.lit("failed to decode Secret."), "field_path", F.lit(": invalid base64 encoding")).alias("message"))
-    return scalars, walked.where("error is not null").select("file", F.col("error").alias("message")).unionByName(undecoded)
+    return scalars, walked.where("error is not null").select("file", F.col("error").alias("message")).unionByName(undecoded), walked
 
 
 def from_documents(df: DataFrame, name_col: str, text_col: str) -> DataFrame:

@@ -17,10 +17,14 @@ def serve(bodies: DataFrame, out: str, checkpoint: str, config: PolicyConfig = P
     """Write responses and rejected bodies' reasons under ``out``. The body itself is never written."""
 
     def write(batch: DataFrame, number: int) -> None:
-        responses, rejects = admit(batch, config, **options)
-        # the batch number makes a repeated batch overwrite itself
-        responses.write.mode("overwrite").json(f"{out}/responses/batch={number}")
-        rejects.select("status", "reason").write.mode("overwrite").json(f"{out}/rejects/batch={number}")
+        batch = batch.persist()
+        try:
+            responses, rejects = admit(batch, config, **options)
+            # the batch number makes a repeated batch overwrite itself
+            responses.write.mode("overwrite").json(f"{out}/responses/batch={number}")
+            rejects.select("status", "reason").write.mode("overwrite").json(f"{out}/rejects/batch={number}")
+        finally:
+            batch.unpersist()
 
     writer = bodies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
