@@ -11,11 +11,13 @@ punctuation, get equal pseudonyms in all documents, and unequal ones unequal one
     phone   the 10 digits after the country code
     ssn     9 digits, again until they are valid
     date    the days since 1900-01-01 as 5 digits, again until below the end of 2099
-    email   letters and digits of the local part; the domain stays
+    email   letters and digits of the local part, of 64 characters at most; the domain stays
 
 A round adds to each character of one half, within its class (digit, lower-case or
 upper-case letter), what SHA-256 of key, kind, round and the other half says. What isn't valid stays as it is.
 
+A walk that finds no valid value in 8,256 steps (a chance below 0.3 ** 8256) leaves the value as it is.
+
 Edge cases: null stays null and empty stays empty; texts of any length are rewritten whole; identifiers aren't read;
 repeated rows are treated each; other columns stay; an empty table gives no rows.
 """
@@ -28,12 +30,15 @@ from pyspark.sql import functions as F
 from .common import let
 
 ROUNDS = 10
-#: Walks along a cycle at most; one ends with a chance of over 0.7 at each step.
-WALK = 64
+#: Steps along a cycle in a first and, where that finds nothing valid, in a second walk; one ends with a chance of over 0.7 at each step.
+WALK, FAR = 64, 8192
 #: Days from 1900-01-01 to 2099-12-31.
 DAYS = 73049
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
+#: Possessive, and from the start of a run of local characters only (or where the last match ended), so that no text makes the matcher
+#: recurse or read a run twice. A local part has 64 characters at most, as the standard has it.
+_LABEL = r"[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
+EMAIL = rf"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{{1,64}}+@{_LABEL}(?:\.{_LABEL})++"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
@@ -75,7 +80,9 @@ def _walk(x: Column, step, valid) -> Column:
     """Steps along the permutation's cycle until a valid value comes; a cycle that starts
     at a valid value returns to one, so this is a permutation of the valid ones."""
     first = F.struct(step(x).alias("v"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda acc, _: F.when(valid(acc.v), acc).otherwise(F.struct(step(acc.v).alias("v"))), lambda acc: acc.v)
+    walk = lambda begin, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), begin, lambda acc, _: F.when(valid(acc.v), acc).otherwise(F.struct(step(acc.v).alias("v"))), lambda acc: acc.v)
+    far = lambda v: F.when(valid(v), v).otherwise(let(walk(F.struct(v.alias("v")), FAR), lambda w: F.when(valid(w), w).otherwise(x)))
+    return let(walk(first, WALK), far)
 
 
 def _refill(x: Column, digits: Column) -> Column:
