@@ -50,6 +50,8 @@ TEMPLATES = [
 #: A file is looked up if it has one of these; each mandatory phrase list has one of them.
 KEYS = ("license", "permission", "cc", "creative", "redistribution", "unencumbered", "fee")
 LEAST = 0.8
+#: No notice has as many words.
+LONGEST = 4096
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -95,6 +97,8 @@ def _labelled(found: Column, label: str) -> Column:
 
 def matches(words: Column, weight: dict[str, float], templates=TEMPLATES, least: float = LEAST) -> Column:
     """Array of structs ``label, start, score`` of the templates that stand in a file."""
+    if any(len(notice.split()) >= LONGEST or "|" in label for label, notice, _ in templates):
+        raise ValueError(f"a notice has fewer than {LONGEST} words and a label no bar")
     ranked = sorted(weight, key=lambda w: (-weight[w], w))
     postings: dict[str, list] = {}
     for t, (_, notice, _) in enumerate(templates):
@@ -116,14 +120,18 @@ def matches(words: Column, weight: dict[str, float], templates=TEMPLATES, least:
             start = F.greatest(c.at, F.lit(0))
             span = F.concat(F.lit(" "), F.array_join(F.slice(words, start + 1, F.greatest(c.at + n - start, F.lit(0))), " "), F.lit(" "))
             whole = F.forall(t.phrases, lambda x: span.contains(F.concat(F.lit(" "), x, F.lit(" "))))
-            return F.when((right >= least * n) & whole, F.struct(t.label.alias("label"), start.alias("start"), (right / n).alias("score")))
+            return F.when((right >= least * n) & whole, F.concat_ws("|", t.label, start.cast("string"), (right / n).cast("string")))
 
         return let(F.get(notices, c.t), judged)
 
     def looked_up(own: Column) -> Column:
         at = F.array_compact(F.transform(words, lambda w, i: F.when(F.exists(own, lambda x: x.w == w), F.struct(w.alias("w"), i.alias("i")))))
-        starts = F.flatten(F.transform(at, lambda x: F.flatten(F.transform(F.filter(own, lambda o: o.w == x.w), lambda o: F.transform(o.post, lambda q: F.struct(q.t.alias("t"), (x.i - q.p).alias("at")))))))
-        return F.array_distinct(F.array_compact(F.transform(F.array_distinct(starts), verified)))
+        # a template and a start as one number, a match as one string: arrays of those are made distinct by hashing
+        coded = lambda x, q: q.t * F.lit(1 << 33).cast("long") + (x.i - q.p + LONGEST)
+        starts = F.flatten(F.transform(at, lambda x: F.flatten(F.transform(F.filter(own, lambda o: o.w == x.w), lambda o: F.transform(o.post, lambda q: coded(x, q))))))
+        opened = lambda c: F.struct(F.shiftright(c, 33).cast("int").alias("t"), (F.pmod(c, F.lit(1 << 33).cast("long")) - LONGEST).cast("int").alias("at"))
+        found = F.array_compact(F.transform(F.array_distinct(starts), lambda c: let(opened(c), verified)))
+        return F.transform(F.array_distinct(found), lambda x: let(F.split(x, r"\|"), lambda p: F.struct(F.get(p, 0).alias("label"), F.get(p, 1).cast("int").alias("start"), F.get(p, 2).cast("double").alias("score"))))
 
     found = let(F.filter(index, lambda x: F.array_contains(words, x.w)), looked_up)
     gate = F.arrays_overlap(words, F.array(*map(F.lit, KEYS)))
