@@ -274,3 +274,137 @@ def test_url_names_of_several_hosts(spark):
 ])
 def test_html_without_body_tag(page, text):
     assert html.extract(page) == text
+
+
+def plain_scores(urls):
+    """Scores by plain Python: words by hosts, all splits of short names, naive Bayes over all URLs."""
+    from math import inf, log
+
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    pieces = []
+    for u in urls:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = low(re.match("[^/?#]*", rest, re.S)[0])
+        path = re.match("[^?#]*", rest[len(host) :], re.S)[0].lower()
+        labels = host.split(":")[0].rsplit(".", 1)[0] if "." in host else host
+        pieces.append((host, re.findall("[a-z]+", labels), re.findall("[a-z]+|[0-9]+", path)))
+    hosts = {}
+    for host, names, rest in pieces:
+        for w in [*names, *(p for p in rest if p.isalpha())]:
+            hosts.setdefault(w, set()).add(host)
+    counts = {w: len(h) for w, h in hosts.items() if len(h) > 1}
+    always = {*urlfilter.SEEDS, *urlfilter.LEXICON}
+    usable = {w for w in {*counts} | always if len(w) > 2}
+
+    def made_of(w, whole=True):
+        return not w or any(w[:k] in usable and made_of(w[k:], False) for k in range(1, len(w) + (not whole)))
+
+    counts = {w: n for w, n in counts.items() if w in always or not made_of(w)}
+    floor = max(1, sum(counts.values()) // max(1, len(counts)))
+    counts |= {w: max(floor, counts.get(w, 0)) for w in always}
+    total = sum(counts.values())
+    known = {}
+
+    def split(w):
+        if w not in known:
+            best = (inf, [])
+            for k in range(1, len(w) + 1):
+                cost = log(total / counts[w[:k]]) if w[:k] in counts else log(total) + 2.3 * k
+                rest = split(w[k:]) if k < len(w) else (0.0, [])
+                best = min(best, (cost + rest[0], [w[:k], *rest[1]]))
+            known[w] = best
+        return known[w]
+
+    found = [[f"h:{x}" for w in names for x in split(w)[1]] + [f"p:{x}" for p in rest for x in (split(p)[1] if p.isalpha() else [f"#{len(p)}"])] for _, names, rest in pieces]
+    bad = [any(t[:2] == "h:" and t[2:] in urlfilter.SEEDS for t in f) for f in found]
+    seen = {}
+    for f, b in zip(found, bad):
+        for t in f:
+            seen.setdefault(t, [0, 0])[b] += 1
+    good_n, bad_n, n = sum(x[0] for x in seen.values()), sum(x[1] for x in seen.values()), len(seen)
+    docs = [sum(1 for f, b in zip(found, bad) if f and b == side) for side in (False, True)]
+    odds = {t: log((b + 1) / (bad_n + n + 1)) - log((g + 1) / (good_n + n + 1)) for t, (g, b) in seen.items()}
+    return [log(docs[1] / docs[0]) + sum(odds[t] for t in f) if f else None for f in found]
+
+
+def test_url_scores(spark, sf):
+    """The dictionary and the shuffle against plain Python."""
+    urls = [r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("url").collect()] + [None, "x", "http://casino-win.a.example/1/ab", "http://www.casino-win.a.example/cheapwin", "http://free-bets.b.example/x9"]
+    want = plain_scores(urls)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for most in (50_000, 20, 0):
+        got = {r.id: r.score for r in urlfilter.filter_urls(df, most_words=most).collect()}
+        assert len(got) == len(urls)
+        for k, w in enumerate(want):
+            assert (got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-6), (most, urls[k])
+
+
+def test_bayes_adds_to_the_seeds(spark):
+    """Words that stand with the seeds only block a host without a seed word."""
+    good = [f"http://{a}.example.info/{c}/{k}" for k, (a, c) in enumerate([("garden", "spade"), ("tools", "hammer"), ("news", "today")] * 30)]
+    bad = [f"http://{a}-{k}.example.org/bonus/{k}" for k, a in enumerate(["casino-win", "cheap-pills", "win-bets", "cheap-loan"] * 8)]
+    test = ["http://cheapwin.example.org/bonus/7", "http://garden-tools.example.info/spade/1"]
+    df = spark.createDataFrame(list(enumerate(good + bad + test)), "page_id long, url string")
+    got = {r.id: r.verdict for r in urlfilter.filter_urls(df).collect()}
+    assert [got[len(good + bad) + k] for k in range(2)] == ["block", "allow"]
+
+
+LONG = 200_000
+
+
+def test_long_texts(spark):
+    """No run stalls or breaks a task."""
+    import time
+
+    runs = ["a." * (LONG // 2), " " * LONG, "a" * LONG, "a@b" + ".c" * LONG, "x@" + "-a" * LONG, "a@b.c_" * (LONG // 6), "1" * LONG, "1-" * LONG, "license " * (LONG // 8), "released under the mit license " * (LONG // 31), "cc by " * (LONG // 6)]
+    df = table(spark, runs).repartition(4)
+    began = time.monotonic()
+    assert pii.pseudonymise(df, "key").count() == len(runs) and pii.pseudonymise(df, "key").agg(F.sum(F.length("text"))).first()[0] > LONG
+    assert len(license.scan(df).select("doc_id", "license.labels", "license.score").collect()) == len(runs)
+    assert time.monotonic() - began < 150
+    n = 50_000
+    for page in ("<div>" * n, "</div>" * n, "<p><button>" + "<div>" * n, "<table><td>" + "<b>" * n + "</i>" * n, "<table><tr><td>" * n, "<ul><li>a" * n, "<blockquote>a" * n, "<" * n, '<a b="' * n, "<table>" + "<tr><td rowspan=65534 colspan=1000>" * 2000):
+        began = time.monotonic()
+        assert html.extract(page + "x") is not None and time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<div style="visibility:hidden">a<b style="visibility:visible">b</b>c</div>d', "b\nd"), ('<p class="x>text</p>more', ""), ('<p class="x>text</p><a href="y">more', "more"), ('<p title=a"b>t</p>', "t"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a     b\nc  d  e"), ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tr><td>x<table><tr><td>1<td>2</table><td>y</table>", "x     y\n1  2"), ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+])
+def test_html_layout(page, text):
+    assert html.extract(page) == text
+
+
+def plain_feistel(x, key, kind, alphabet=None):
+    """The network in plain Python."""
+    half = len(x) // 2
+    left, right = x[:half], x[half:]
+    for i in range(1, pii.ROUNDS + 1):
+        out = ""
+        for k, c in enumerate(left):
+            digest = hashlib.sha256("|".join((key, kind, str(i), str(k // 16), right)).encode()).hexdigest()
+            add = int(digest[k % 16 * 4 : k % 16 * 4 + 4], 16)
+            for run in [alphabet] if alphabet else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]:
+                if c in run:
+                    c = run[(run.index(c) + add) % len(run)]
+                    break
+            out += c
+        left, right = right, out
+    return left + right
+
+
+def test_feistel_in_plain_python(spark):
+    values = ["", "7", "42", "4012888888888", "Ab.9", "zZ_x%1" * 6, "0" * 40]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    assert [r[0] for r in df.orderBy("i").select(pii.feistel(F.col("v"), "k", "t")).collect()] == [plain_feistel(v, "k", "t") for v in values]
+    card, mail, ip, phone = "4012888888881881", "Some.One9@mail1.example.com", "10.200.0.7", "(555) 123-4567"
+    got = change(spark, card, mail, ip, phone, "a@b.c_d@e.f", "a" * 65 + "@b.c")
+    body = plain_feistel(card[:-1], "key", "card")
+    assert got[0][:-1] == body and luhn(got[0]) and got[1] == plain_feistel("Some.One9", "key", "email") + "@mail1.example.com"
+    word = plain_feistel("".join(f"{int(o):02x}" for o in ip.split(".")), "key", "ip", "0123456789abcdef")
+    assert got[2] == ".".join(str(int(word[k : k + 2], 16)) for k in range(0, 8, 2))
+    digits = plain_feistel("5551234567", "key", "phone")
+    assert got[3] == f"({digits[:3]}) {digits[3:6]}-{digits[6:]}" and got[5] == "a" * 65 + "@b.c"
+    assert got[4] == plain_feistel("a", "key", "email") + "@b.c" + plain_feistel("_d", "key", "email") + "@e.f"
