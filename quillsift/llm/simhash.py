@@ -392,11 +392,8 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranks = rank.tobytes()
     tokens = write_table(source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node long, n int"), "prefixes")
     counts = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    # a token that no other text has is in no overlap: ``most`` is what a text can share at best
-    width = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    most = F.col("n") - width + F.count("*").over(Window.partitionBy("node"))
-    shared = write_table(tokens.join(counts, "token").withColumn("most", most.cast("int")), "tokens")
-    near = lambda x, y: F.least(x.most, y.most) >= similarity / (1 + similarity) * (x.n + y.n) - 1e-6
+    shared = write_table(tokens.join(counts, "token"), "tokens")
+    near = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs ``a``, ``b`` that link."""
@@ -411,14 +408,14 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at = F.xxhash64(F.lit(seed), "node")
         deal = F.pmod(F.xxhash64(F.lit(seed + 1000), "node"), F.ceil(F.col("rows") / TOKEN_ROWS))
         order = Window.partitionBy("token", "deal").orderBy("at", "node")
-        x = F.lead(F.struct("class", "node", "n", "most")).over(order)
+        x = F.lead(F.struct("class", "node", "n")).over(order)
         beside = rows.withColumn("at", at).withColumn("deal", deal).withColumn("x", x)
-        open_pairs = beside.where((F.col("class") != F.col("x.class")) & near(F.struct("n", "most"), F.col("x")))
+        open_pairs = beside.where((F.col("class") != F.col("x.class")) & near(F.col("n"), F.col("x.n")))
         return open_pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
 
     def classed(roots: DataFrame) -> DataFrame:
         """The rows of tokens that more than one class has."""
-        named = shared.join(roots.select("node", "root"), "node", "left").select("token", F.coalesce("root", "node").alias("class"), "node", "n", "most", "rows")
+        named = shared.join(roots.select("node", "root"), "node", "left").select("token", F.coalesce("root", "node").alias("class"), "node", "n", "rows")
         return write_table(named, "classed")
 
     tried, roots = None, None
@@ -440,8 +437,7 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     x, y = open_rows.where("class <> major").alias("x"), open_rows.alias("y")
     once = (F.col("y.class") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once
-    sides = (F.struct(*[F.col(f"{t}.{c}") for c in ("n", "most")]) for t in "xy")
-    met = x.join(y, apart & near(*sides)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    met = x.join(y, apart & near(F.col("x.n"), F.col("y.n"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
     # the prefix that ends first in the order shares no more than the common tokens, and what is behind it is n less its length, least(n) - 1
     behind = F.ceil(similarity * F.greatest("n", "m") - 1e-9) - 1
     room = F.count("*") + F.max(behind) >= F.max(similarity / (1 + similarity) * (F.col("n") + F.col("m"))) - 1e-6
