@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +40,26 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     computes it once, and the files outlive any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # the shuffles of this one query aren't needed after it
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before) if before is not None else spark.conf.unset(CLEAN_SHUFFLES)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame | None) -> None:
+    """Delete what ``write_table`` wrote, once everything that reads it is written itself."""
+    if df is None:
+        return
+    jvm = df.sparkSession._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def let(value: Column, body) -> Column:
     """``body`` over ``value``, which is computed once: a lambda binds it, so that
     no optimiser rule can copy it into several places."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import drop_table, write_table
 
 SEED = 42
 #: Blocks at least; beyond MOST fingerprints in a block there are more.
@@ -240,8 +240,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
+        last, small = edges, large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
         edges = write_table(small.where("a <> b").distinct(), "edges")
+        drop_table(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == now:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -351,18 +352,14 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """``node, hashes``: the whole set of shingles of each text."""
+def _verified(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs that link, by the whole texts of both: texts are shuffled, as they compress better than sets of hashes."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["node", "hashes"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    read = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
-    for batch in batches:
-        good = [jaccard(read(x), read(y)) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3))]
+        good, last, known = [], None, None
+        for x, b, y in zip(batch.column(2), batch.column(1).to_pylist(), batch.column(3)):
+            if b != last:  # pairs of a text often stand together
+                last, known = b, shingles(y.as_py(), size)
+            good.append(jaccard(shingles(x.as_py(), size), known) >= least - 1e-9)
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
@@ -393,16 +390,20 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = write_table(source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node long, n int"), "prefixes")
     counts = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
     shared = write_table(tokens.join(counts, "token"), "tokens")
+    drop_table(tokens)
     near = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs ``a``, ``b`` that link."""
         pairs = write_table(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = write_table(source.join(ends, "node", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "node long, hashes binary"), "sets")
-        of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
-        return both.mapInArrow(lambda it: _verified(it, similarity), "a long, b long")
+        some = write_table(source.join(ends, "node", "left_semi"), "ends")
+        of = lambda c: some.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+        links = write_table(both.mapInArrow(lambda it: _verified(it, shingle, similarity), "a long, b long"), "links")
+        drop_table(some)
+        drop_table(pairs)
+        return links
 
     def neighbours(rows: DataFrame, seed: int) -> DataFrame:
         at = F.xxhash64(F.lit(seed), "node")
@@ -418,10 +419,11 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named = shared.join(roots.select("node", "root"), "node", "left").select("token", F.coalesce("root", "node").alias("class"), "node", "n", "rows")
         return write_table(named, "classed")
 
-    tried, roots = None, None
+    tried, roots, rows = None, None, None
     for seed in range(rounds):
-        rows = shared.withColumn("class", F.col("node")) if roots is None else classed(roots)
-        pairs = neighbours(rows, seed)
+        drop_table(rows)
+        rows = classed(roots) if roots is not None else None
+        pairs = neighbours(shared.withColumn("class", F.col("node")) if rows is None else rows, seed)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = write_table(pairs, "candidates")
@@ -429,8 +431,11 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = verified(pairs)
         if roots is not None:
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
-        roots = components(links)
+        before, roots = roots, components(links)
+        drop_table(before)
+    drop_table(rows)
     rows = classed(roots)
+    drop_table(shared)
     # the largest class of a token is held against the others only, so that its own pairs aren't made
     sizes = rows.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("x"))
     open_rows = rows.join(sizes.where("classes > 1").select("token", F.col("x.class").alias("major")), "token")
