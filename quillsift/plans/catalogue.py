@@ -298,10 +298,11 @@ def suppressor_matrix(spark, sf_dir):
     return t.select("c_custkey", "shape", *[x.alias(k) for k, x in detect.token_suppressors(F.col("t")).items()], F.round(entropy(F.col("t")), 6).alias("h"))
 
 
-#: Whole values that are or aren't known not to be credentials, each with a customer's key in it.
+#: Whole values that are or aren't known not to be credentials, each with a customer's key in it. None has a dollar before a brace,
+#: which Spark's SQL parser would take for a variable.
 _VALUES = [
     " ssh-rsa {md5} a@b\n", "ssh-rsa{md5}", "-----BEGIN CERTIFICATE-----{md5}", "-----BEGIN PUBLIC KEY-----{md5}", "-----BEGIN CERTIFICATE-----{md5}-----BEGIN PRIV" + "ATE KEY-----", "{{{{ .Values.{k} }}}}",
-    "${{{k}}}", "$({k})", "<{k}-token>", "<two {k}>", "$2b$10${md5}", "data:text/plain;{md5}", "Zx9!Kq2#{md5}", "\t{{{{{k}",
+    "$({k})", "<{k}-token>", "<two {k}>", "$2b$10${md5}", "data:text/plain;{md5}", "Zx9!Kq2#{md5}", "\t{{{{{k}",
 ]
 
 
@@ -311,7 +312,7 @@ def _cases(shapes: list[str], kind: str) -> str:
 
 @register("value_suppressors", f"SELECT c_custkey, {value_suppressed_sql('v')} AS known FROM (SELECT c_custkey, CASE c_custkey % {len(_VALUES)} {_cases(_VALUES, 'VARCHAR')} END AS v FROM customer)")
 def value_suppressors(spark, sf_dir):
-    made = F.expr("CASE c_custkey % %d %s END" % (len(_VALUES), _cases(_VALUES, "STRING").replace("\n", "\\n").replace("\t", "\\t")))
+    made = F.expr(f"CASE c_custkey % {len(_VALUES)} {_cases(_VALUES, 'STRING')} END")
     return table(spark, sf_dir, "customer").select("c_custkey", detect.value_suppressed(made).alias("known"))
 
 
@@ -538,14 +539,14 @@ def configmap_scan(spark, sf_dir):
     return found.select("file", "rule_id", "field_path", "line")
 
 
-_NESTED = "SELECT n_name AS file, p AS field_path, l AS line FROM nation, (VALUES ('secrets[0][0]', 3), ('secrets[0][1][0]', 4), ('secrets[1].b', 5)) t(p, l)"
+_NESTED = "SELECT n_name AS file, p AS field_path, l AS line FROM nation, (VALUES ('secrets[0][0]', 3), ('secrets[0][1][0]', 4), ('secrets[1].token', 5)) t(p, l)"
 
 
 @register("nested_sequences", _NESTED)
 def nested_sequences(spark, sf_dir):
     """Sequences in sequences, and a mapping in one."""
     aws = F.concat(F.lit("AKI"), F.lit("A"), F.upper(F.substr(F.md5("n_name"), F.lit(1), F.lit(16))))
-    text = _lines("kind: Pod\nsecrets:\n- - ", aws, "\n  - - ", aws, "\n- b: ", aws, "\n")
+    text = _lines("kind: Pod\nsecrets:\n- - ", aws, "\n  - - ", aws, "\n- token: ", aws, "\n")
     found, _ = _scan(spark, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), text.alias("yaml")))
     return found.select("file", "field_path", "line")
 
