@@ -144,8 +144,14 @@ def judged(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~base_failed(f) & ~bad).drop("__stratum", "__cut")
 
 
+def measured_columns(id_col: str, text_col: str, stratum_col: str) -> list[Column]:
+    """``id, stratum, f``."""
+    stratum = F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit(""))
+    return [F.col(f"`{id_col}`").cast("long").alias("id"), stratum.alias("stratum"), features(F.col(f"`{text_col}`")).alias("f")]
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), features(F.col(text_col)).alias("f"))
+    return docs.select(*measured_columns(id_col, text_col, stratum_col))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
@@ -155,15 +161,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns that they came with. Counts of
-    the labelled documents alone are made once more; they are joined before the counts, so that no other text is read twice by the rules."""
-    label_id = options.get("label_id_col", "doc_id")
-    marked = labels.select(F.col(label_id).cast("long").alias("__marked")).where("__marked is not null").distinct()
-    some = docs.join(marked, F.col(id_col).cast("long") == F.col("__marked"), "left_semi")
-    cutoffs = thresholds(measured(some, id_col, text_col, stratum_col), labels, **options)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    text, stratum = F.col("row")[text_col], F.coalesce(F.col("row")[stratum_col].cast("string"), F.lit(""))
-    return judged(rows.select("row", stratum.alias("stratum"), features(text).alias("f")), cutoffs).where("kept").select("row.*")
+    """The rows of ``docs`` that are kept, with the columns that they came with. Counts are made once and written beside
+    their rows, so that labels are joined to identifiers and counts alone and no text is shuffled."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = write_table(docs.select(row.alias("row"), *measured_columns(id_col, text_col, stratum_col)), "counted")
+    cutoffs = thresholds(rows.select("id", "stratum", "f"), labels, **options)
+    return judged(rows.select("row", "stratum", "f"), cutoffs).where("kept").select("row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
