@@ -262,8 +262,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Rows of a token in one task, about, in the rounds of neighbours.
 TOKEN_ROWS = 20_000
-#: Bins of a sketch; bits of a shingle's bin when frequencies are counted, the most bins kept, and a shingle without words.
-BINS, HOT_BITS, MOST_HOT, NO_WORDS = 256, 18, 100_000, 1
+#: Bins of a sketch; bits of a shingle's bin when frequencies are counted, and a shingle without words.
+BINS, RANK_BITS, NO_WORDS = 256, 20, 1
+#: Pairs of whole texts in one Arrow batch.
+VERIFY_ROWS = 500
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -314,26 +317,37 @@ def resemblance(a: bytes, b: bytes) -> float:
     return np.count_nonzero((x == y) & (x != 0xFFFF)) / either if either else 1.0
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The bins of shingles that are far more frequent than the mean, with their counts."""
-    total = np.zeros(1 << HOT_BITS, np.int64)
+def _bin_counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of each bin stand in the texts of a partition."""
+    total = np.zeros(1 << RANK_BITS, np.int64)
     for batch in batches:
         for t in batch.column(0):
-            np.add.at(total, (shingles(t.as_py(), size) >> np.uint64(64 - HOT_BITS)).astype(np.int64), 1)
-    bins = np.flatnonzero(total >= max(4, 4 * total.mean()))
-    yield pa.RecordBatch.from_pydict({"bin": pa.array(bins, pa.int64()), "n": pa.array(total[bins], pa.int64())})
+            np.add.at(total, (shingles(t.as_py(), size) >> np.uint64(64 - RANK_BITS)).astype(np.int64), 1)
+    bins = np.flatnonzero(total)
+    for k in range(0, len(bins), 50_000):
+        part = bins[k : k + 50_000]
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(part.astype(np.int32)), "n": pa.array(total[part])})
+
+
+def bin_ranks(texts: DataFrame, size: int) -> np.ndarray:
+    """A rank for each bin of shingles, by how often they stand in all texts: 2 bytes a bin at any size of the input."""
+    counts = texts.mapInArrow(lambda it: _bin_counts(it, size), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    found = counts.select("bin", F.floor(64 * F.log2(F.col("n") + 1)).cast("int").alias("rank")).toArrow()
+    ranks = np.zeros(1 << RANK_BITS, np.uint16)
+    ranks[found["bin"].to_numpy()] = found["rank"].to_numpy()
+    return ranks
 
 
 def prefix(hashes: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles in the common order (rank of the bin, hash). Two sets that are ``similarity`` alike share one of
     their prefixes, whatever the ranks are."""
     least = math.ceil(similarity * len(hashes) - 1e-9)
-    order = np.lexsort((hashes, rank[(hashes >> np.uint64(64 - HOT_BITS)).astype(np.int64)]))
+    order = np.lexsort((hashes, rank[(hashes >> np.uint64(64 - RANK_BITS)).astype(np.int64)]))
     return hashes[order[: len(hashes) - least + 1]]
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, rank: bytes, similarity: float) -> Iterator[pa.RecordBatch]:
-    ranks = np.frombuffer(rank, np.uint8)
+    ranks = np.frombuffer(rank, np.uint16)
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
@@ -372,21 +386,18 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts link if the Jaccard similarity of their whole sets of word shingles is ``similarity`` or more; classes are what links connect.
     Candidates come from an exact prefix filter: two such texts share a token among the first of both, in an order of all
-    shingles that has frequent ones last (an estimate, which only decides the effort); their sizes and the number of tokens that both prefixes
+    shingles that has frequent ones last (by counts of bins over all texts, which only decide the effort); their sizes and the number of tokens that both prefixes
     have must leave room for the overlap. First, in ``rounds`` rounds, the texts of a token stand in a random order, another one in each
     round, and neighbours of different classes are compared: a pair at most for a row, which settles large groups. Then all pairs that
     share a token and are still in different classes are verified. Rows of a token that many texts have are dealt over several tasks.
     """
+    spark = docs.sparkSession
     own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(_key(text_col).alias("key"), F.col(id_col).cast("long").alias("id"), own.alias("text"))
     texts = texts.groupBy("key").agg(F.min("id").alias("low"), F.first("text").alias("text"))
     texts = write_table(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     source = texts.select("node", "text")
-    frequent = source.select("text").mapInArrow(lambda it: _frequent(it, shingle), "bin long, n long")
-    rank = np.zeros(1 << HOT_BITS, np.uint8)
-    for r in frequent.groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bin").limit(MOST_HOT).collect():
-        rank[r["bin"]] = r["n"].bit_length()
-    ranks = rank.tobytes()
+    ranks = bin_ranks(source.select("text"), shingle).tobytes()
     tokens = write_table(source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node long, n int"), "prefixes")
     counts = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
     shared = write_table(tokens.join(counts, "token"), "tokens")
@@ -400,7 +411,12 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         some = write_table(source.join(ends, "node", "left_semi"), "ends")
         of = lambda c: some.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
-        links = write_table(both.mapInArrow(lambda it: _verified(it, shingle, similarity), "a long, b long"), "links")
+        before = spark.conf.get(ARROW_ROWS)
+        spark.conf.set(ARROW_ROWS, VERIFY_ROWS)
+        try:
+            links = write_table(both.mapInArrow(lambda it: _verified(it, shingle, similarity), "a long, b long"), "links")
+        finally:
+            spark.conf.set(ARROW_ROWS, before)
         drop_table(some)
         drop_table(pairs)
         return links
