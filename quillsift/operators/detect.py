@@ -166,20 +166,23 @@ def value_suppressed(value: Column) -> Column:
     return bind(trim_space(value), whole)
 
 
-def base64_public(t: Column) -> Column:
-    """The aligned head of the token, 64 characters at most, decodes to public key material."""
+def base64_public(t: Column, ascii_only: bool = False) -> Column:
+    """The aligned head of the token, 64 characters at most, decodes to public key material: valid UTF-8, or ASCII only."""
 
     def decoded(head: Column) -> Column:
         text = F.unbase64(F.when(head.rlike(STRICT_BASE64), head).otherwise("")).cast("string")
-        return F.is_valid_utf8(text) & (matches(text, "PEM_PUBLIC") | matches(text, "SSH_PUBLIC"))
+        valid = F.is_valid_utf8(text)
+        if ascii_only:
+            valid = valid & (F.length(text) == F.octet_length(text))
+        return valid & (matches(text, "PEM_PUBLIC") | matches(text, "SSH_PUBLIC"))
 
     n = F.octet_length(t)
     size = F.least(F.lit(64), n - n % 4)
     return F.when(size >= 40, bind(F.substr(t, F.lit(1), size), decoded)).otherwise(F.lit(False))
 
 
-def token_suppressors(t: Column) -> dict[str, Column]:
-    """What is known not to be a credential, by name, in the order of the checks."""
+def token_suppressors(t: Column, ascii_only: bool = False) -> dict[str, Column]:
+    """What is known not to be a credential, by name, in the order of the checks. ``ascii_only``: as in ``base64_public``."""
     ssh = F.lit(False)
     for prefix in SSH_BASE64:
         ssh = ssh | t.startswith(prefix)
@@ -190,7 +193,7 @@ def token_suppressors(t: Column) -> dict[str, Column]:
         "image": matches(t, "IMAGE"),
         "dns_name": matches(t, "DNS_NAME") & ~t.contains("_"),
         "ssh_base64": ssh,
-        "base64_public": base64_public(t),
+        "base64_public": base64_public(t, ascii_only),
         "reference": matches(t, "REFERENCE"),
         "url": matches(t, "URL") & ~matches(t, "URL_USER"),
         "crypt_hash": matches(t, "CRYPT_HASH"),
