@@ -381,11 +381,21 @@ def _key(text_col: str):
     return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
 
 
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """``a``, ``b``: each text (``node``, ``text``) beside the least of those that it is linked to by fingerprints 4 bits apart
+    or fewer, as in ``near_duplicates``, and beside the least one of an equal fingerprint."""
+    found = write_table(near_duplicates(texts, "node"), "linked")
+    same = found.groupBy("fp").agg(F.min("id").alias("least"))
+    both = found.join(same, "fp").select(F.explode(F.array("component", "least")).alias("a"), F.col("id").alias("b"))
+    return both.where("a <> b").distinct()
+
+
 def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
     """``key, root, low`` of each distinct text (null counts as empty): the class that it belongs to and its least identifier.
 
     Texts link if the Jaccard similarity of their whole sets of word shingles is ``similarity`` or more; classes are what links connect.
-    Candidates come from an exact prefix filter: two such texts share a token among the first of both, in an order of all
+    The first candidates are those of SimHash: texts whose fingerprints are equal or linked at 4 bits. What it misses
+    comes from an exact prefix filter: two such texts share a token among the first of both, in an order of all
     shingles that has frequent ones last (by counts of bins over all texts, which only decide the effort); their sizes and the number of tokens that both prefixes
     have must leave room for the overlap. First, in ``rounds`` rounds, the texts of a token stand in a random order, another one in each
     round, and neighbours of different classes are compared: a pair at most for a row, which settles large groups. Then all pairs that
@@ -435,18 +445,14 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named = shared.join(roots.select("node", "root"), "node", "left").select("token", F.coalesce("root", "node").alias("class"), "node", "n", "rows")
         return write_table(named, "classed")
 
-    tried, roots, rows = None, None, None
+    tried = write_table(simhash_pairs(source), "candidates")
+    roots, rows = components(verified(tried)), None
     for seed in range(rounds):
         drop_table(rows)
-        rows = classed(roots) if roots is not None else None
-        pairs = neighbours(shared.withColumn("class", F.col("node")) if rows is None else rows, seed)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, "candidates")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = verified(pairs)
-        if roots is not None:
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+        rows = classed(roots)
+        pairs = write_table(neighbours(rows, seed).join(tried, ["a", "b"], "left_anti"), "candidates")
+        tried = tried.unionByName(pairs)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs))
         before, roots = roots, components(links)
         drop_table(before)
     drop_table(rows)
@@ -462,9 +468,7 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the prefix that ends first in the order shares no more than the common tokens, and what is behind it is n less its length, least(n) - 1
     behind = F.ceil(similarity * F.greatest("n", "m") - 1e-9) - 1
     room = F.count("*") + F.max(behind) >= F.max(similarity / (1 + similarity) * (F.col("n") + F.col("m"))) - 1e-6
-    pairs = met.groupBy("a", "b").agg(room.alias("room")).where("room").select("a", "b")
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = met.groupBy("a", "b").agg(room.alias("room")).where("room").select("a", "b").join(tried, ["a", "b"], "left_anti")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs)))
     nodes = texts.select("key", "low", "node").join(roots, "node", "left")
     return write_table(nodes.select("key", F.coalesce("root", "node").alias("root"), "low"), "classes")

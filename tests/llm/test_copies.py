@@ -216,6 +216,24 @@ def test_pairs_below_the_similarity_stay_apart(spark):
     assert got == true_classes(texts) and len(got) == 80
 
 
+def test_copies_are_sought_by_simhash(spark, sf, monkeypatch):
+    """The stage takes the links of fingerprints, all of them, before it seeks others."""
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, 400)) for _ in range(30)]
+    texts += [t.replace(" ", "  ", 1) for t in texts[:5]] + [t + " end" for t in texts]
+    prints = [simhash.fingerprint(t) for t in texts]
+    want = classes(list(range(len(texts))), prints)
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    pairs = simhash.simhash_pairs(df)
+    roots = {r.node: r.root for r in simhash.components(pairs).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == want and len(set(want)) < len(texts) - 5
+    calls, real = [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: calls.append(a) or real(*a, **k))
+    docs = df.withColumnRenamed("node", "doc_id")
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()}
+    assert len(calls) == 1 and kept == {c[0] for c in true_classes(texts)}
+
+
 def test_pipeline(spark, sf):
     """Stage by stage: columns, what goes and what stays."""
     from quillsift.llm import decontam, packing, quality
