@@ -264,8 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 TOKEN_ROWS = 20_000
 #: Bins of a sketch; bits of a shingle's bin when frequencies are counted, and a shingle without words.
 BINS, RANK_BITS, NO_WORDS = 256, 20, 1
+#: 64-bit words of a set's parity bits.
+PARITY = 16
 #: Pairs of whole texts in one Arrow batch.
 VERIFY_ROWS = 500
+PARITY_COLUMNS = [f"p{k}" for k in range(PARITY)]
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -346,18 +349,30 @@ def prefix(hashes: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarra
     return hashes[order[: len(hashes) - least + 1]]
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``64 * PARITY`` bins whether an odd number of the hashes falls into it. Hashes that two sets share fall out
+    of the difference of their bits, so sets differ in as many hashes at least as their bits do."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, rank: bytes, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The prefix of each text; its first row has the parity bits too."""
     ranks = np.frombuffer(rank, np.uint16)
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
             sets = [shingles(t.as_py(), size) for t in part.column(1)]
             tops = [prefix(h, ranks, similarity) for h in sets]
-            of = np.repeat(np.arange(len(sets)), list(map(len, tops)))
+            lengths = np.array(list(map(len, tops)))
+            of = np.repeat(np.arange(len(sets)), lengths)
+            first = np.diff(of, prepend=-1) != 0
+            bits = np.zeros((len(of), PARITY), np.int64)
+            bits[first] = [parity(h) for h in sets]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(tops).view(np.int64)), part.column(0).take(pa.array(of)),
-                pa.array(np.array(list(map(len, sets)), np.int32)[of]),
-            ], names=["token", "node", "n"])
+                pa.array(np.array(list(map(len, sets)), np.int32)[of]), *(pa.array(b, mask=~first) for b in bits.T),
+            ], names=["token", "node", "n", *PARITY_COLUMNS])
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -397,7 +412,7 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The first candidates are those of SimHash: texts whose fingerprints are equal or linked at 4 bits. What it misses
     comes from an exact prefix filter: two such texts share a token among the first of both, in an order of all
     shingles that has frequent ones last (by counts of bins over all texts, which only decide the effort); their sizes and the number of tokens that both prefixes
-    have must leave room for the overlap. First, in ``rounds`` rounds, the texts of a token stand in a random order, another one in each
+    have must leave room for the overlap, and so must their parity bits. First, in ``rounds`` rounds, the texts of a token stand in a random order, another one in each
     round, and neighbours of different classes are compared: a pair at most for a row, which settles large groups. Then all pairs that
     share a token and are still in different classes are verified. Rows of a token that many texts have are dealt over several tasks.
     """
@@ -408,15 +423,24 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = write_table(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     source = texts.select("node", "text")
     ranks = bin_ranks(source.select("text"), shingle).tobytes()
-    tokens = write_table(source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), "token long, node long, n int"), "prefixes")
+    fields = ", ".join(f"{c} long" for c in PARITY_COLUMNS)
+    tokens = write_table(source.mapInArrow(lambda it: _prefixes(it, shingle, ranks, similarity), f"token long, node long, n int, {fields}"), "prefixes")
+    bits = write_table(tokens.where("p0 is not null").select("node", "n", *PARITY_COLUMNS), "parity")
     counts = tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = write_table(tokens.join(counts, "token"), "tokens")
+    shared = write_table(tokens.select("token", "node", "n").join(counts, "token"), "tokens")
     drop_table(tokens)
     near = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
 
+    def alike(x: str, y: str):
+        """Sets that are ``similarity`` alike differ in this share of their sizes at most."""
+        apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY_COLUMNS), F.lit(0))
+        return apart <= (1 - similarity + 1e-6) / (1 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs ``a``, ``b`` that link."""
-        pairs = write_table(pairs, "pairs")
+        x, y = bits.alias("x"), bits.alias("y")
+        pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+        pairs = write_table(pairs.where(near(F.col("x.n"), F.col("y.n")) & alike("x", "y")).select("a", "b"), "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         some = write_table(source.join(ends, "node", "left_semi"), "ends")
         of = lambda c: some.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
@@ -460,11 +484,11 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop_table(shared)
     # the largest class of a token is held against the others only, so that its own pairs aren't made
     sizes = rows.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("x"))
-    open_rows = rows.join(sizes.where("classes > 1").select("token", F.col("x.class").alias("major")), "token")
+    open_rows = rows.join(sizes.where("classes > 1").select("token", F.col("x.class").alias("major")), "token").drop("n").join(bits, "node")
     x, y = open_rows.where("class <> major").alias("x"), open_rows.alias("y")
     once = (F.col("y.class") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once
-    met = x.join(y, apart & near(F.col("x.n"), F.col("y.n"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    met = x.join(y, apart & near(F.col("x.n"), F.col("y.n")) & alike("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
     # the prefix that ends first in the order shares no more than the common tokens, and what is behind it is n less its length, least(n) - 1
     behind = F.ceil(similarity * F.greatest("n", "m") - 1e-9) - 1
     room = F.count("*") + F.max(behind) >= F.max(similarity / (1 + similarity) * (F.col("n") + F.col("m"))) - 1e-6

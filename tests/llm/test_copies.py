@@ -234,6 +234,32 @@ def test_copies_are_sought_by_simhash(spark, sf, monkeypatch):
     assert len(calls) == 1 and kept == {c[0] for c in true_classes(texts)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_parity_never_exceeds_the_difference(x, y, both):
+    x, y = x | both, y | both
+    bits = [simhash.parity(np.array(sorted(s), np.uint64)).view(np.uint64) for s in (x, y)]
+    assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(x ^ y) and len(bits[0]) == simhash.PARITY
+
+
+def test_shared_passages_make_no_pairs(spark, monkeypatch):
+    """Texts put together from common passages share tokens, but their parity bits tell them apart before any text is read."""
+    rng = random.Random(10)
+    passages = [words(rng, 30) for _ in range(40)]
+    texts = [" ".join(sum(rng.sample(passages, 10), [])) for _ in range(120)]
+    texts += [f"{t} more" for t in texts[:10]]
+    written, real = [], simhash.write_table
+
+    def spy(df, name):
+        out = real(df, name)
+        written.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "write_table", spy)
+    got = linked(spark, texts)
+    assert got == true_classes(texts) and sum(len(c) == 2 for c in got) == 10 and sum(written) <= 40
+
+
 def test_pipeline(spark, sf):
     """Stage by stage: columns, what goes and what stays."""
     from quillsift.llm import decontam, packing, quality
