@@ -39,6 +39,8 @@ MAGIC = b"QSSST001"
 _FOOTER = struct.Struct("<QQQQQQI8s")
 #: Identifiers that the bounds of shards are taken from, at most.
 SAMPLE = 1_000_000
+#: Tokens that a task reads back, about, where shards are smaller.
+READ_TOKENS = 4_000_000
 _DEALT = "id long, shard long, value binary"
 _DEALT_ARROW = pa.schema([("id", pa.int64()), ("shard", pa.int64()), ("value", pa.binary())])
 _MANIFEST = "shard long, path string, n_docs long, n_tokens long"
@@ -311,14 +313,16 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     none_shards, bounds = _bounds(source.select("id"), shards or max(1, docs.rdd.getNumPartitions()))
     values = source.mapInArrow(lambda it: _encode(it, path, end_id, none_shards, bounds), _DEALT)
     dealt = values.repartitionById(none_shards + len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", "value")
-    manifest = write_table(dealt.mapInArrow(lambda it: _write(it, folder), _MANIFEST), "shards")
+    # a row for each shard: one small file, not one for each task
+    manifest = write_table(dealt.mapInArrow(lambda it: _write(it, folder), _MANIFEST).repartition(1), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """``id, start, n_tokens, ids`` of every document in the shards."""
-    n = max(1, manifest.count())
+    """``id, start, n_tokens, ids`` of every document in the shards; a task reads several small ones."""
+    shards, tokens = manifest.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n = max(1, min(shards, max(manifest.sparkSession.sparkContext.defaultParallelism, -(-tokens // READ_TOKENS))))
     return manifest.repartition(n).mapInArrow(_read, _READ)
 
 

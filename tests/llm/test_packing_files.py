@@ -87,6 +87,19 @@ def test_shards(spark, enc):
     assert sstable.read_shards(sstable.write_shards(df.limit(0), scratch_path(spark, "t"))).count() == 0
 
 
+def test_many_small_shards(spark, enc):
+    """Their manifest is one file, and a task reads several of them."""
+    rows = [(k, f"word {k} of many") for k in range(400)]
+    shards = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), scratch_path(spark, "t"), shards=60)
+    read = sstable.read_shards(shards)
+    assert len(shards.inputFiles()) == 1 and shards.count() > 30 and read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got, at = sorted(read.collect(), key=lambda r: r.start), 0
+    for r, (doc, text) in zip(got, rows, strict=True):
+        raw = whole(enc, text) + b"\1\0\0\0"
+        assert (r.id, r.start, bytes(r.ids)) == (doc, at, raw)
+        at += len(raw) // 4
+
+
 def test_shard_format():
     out = io.BytesIO()
     w = sstable.Writer(out, block_size=200, restart=4)
